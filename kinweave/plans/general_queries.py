@@ -65,14 +65,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 _ORPHANS_SQL = """
 WITH refs AS (
-  SELECT DISTINCT 'edges' AS tab_name, src AS ref_from, dst, written_at AS at FROM edges
+  SELECT DISTINCT 'edges' AS tab_name, src AS ref_from, dst, written_at AS ts FROM edges
   UNION ALL SELECT DISTINCT 'search_results', query_id, dst, searched_at FROM search_results),
 nodes AS (
   SELECT DISTINCT 'edges' AS tab_name, id, added_at, removed_at FROM vector_nodes
   UNION ALL SELECT DISTINCT 'search_results', id, added_at, removed_at FROM text_nodes),
 f AS (
-  SELECT r.*, CASE WHEN n.id IS NULL THEN 'missing' WHEN n.removed_at <= r.at THEN 'removed'
-                   WHEN n.added_at > r.at THEN 'early' END AS kind
+  SELECT r.*, CASE WHEN n.id IS NULL THEN 'missing' WHEN n.removed_at <= r.ts THEN 'removed'
+                   WHEN n.added_at > r.ts THEN 'early' END AS kind
   FROM refs r LEFT JOIN nodes n ON r.tab_name = n.tab_name AND r.dst = n.id)
 """
 
@@ -84,7 +84,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return with_period(a.withColumn("tab_name", F.lit("edges")).unionByName(b.withColumn("tab_name", F.lit("search_results"))))
 
 
-@R.query("p4_found", _ORPHANS_SQL + "SELECT DISTINCT tab_name, ref_from, dst, strftime(at, '%Y-%m') AS period, kind FROM f WHERE kind IS NOT NULL")
+@R.query("p4_found", _ORPHANS_SQL + "SELECT DISTINCT tab_name, ref_from, dst, strftime(ts, '%Y-%m') AS period, kind FROM f WHERE kind IS NOT NULL")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references of edges and search results, with month and kind."""
     return _orphans(spark, d).select("tab_name", "ref_from", "dst", "period", "kind").distinct()
@@ -92,7 +92,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     "p4_orphan_counts",
-    _ORPHANS_SQL + "SELECT tab_name, strftime(at, '%Y-%m') AS period, kind, count(*) AS n_refs, count(DISTINCT dst) AS n_targets FROM f WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
+    _ORPHANS_SQL + "SELECT tab_name, strftime(ts, '%Y-%m') AS period, kind, count(*) AS n_refs, count(DISTINCT dst) AS n_targets FROM f WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
 )
 def p4_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table, month and kind."""
