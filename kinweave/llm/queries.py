@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import chosen_path as cp
+from kinweave.llm import score_bands as sb
 from kinweave.plans.registry import Registry
 from kinweave.sources.tables import table
 
@@ -24,3 +25,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Class, group and number of links of every text node with enough words."""
     return cp.near_duplicate_groups(cp.latest_values(table(spark, d, "text_nodes")), P1)
+
+
+# --- p3 ---------------------------------------------------------------------------------------------------------
+
+_TOP_SQL = """
+SELECT src, dst, sim, CAST(place AS INTEGER) AS place FROM (
+  SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS place
+  FROM (SELECT src, dst, max(sim) AS sim FROM candidates WHERE src <> dst AND NOT isnan(sim) AND sim BETWEEN 0 AND 1 GROUP BY 1, 2))
+WHERE place <= 10
+"""
+
+
+@R.query("p3_found", f"SELECT src, dst, place FROM ({_TOP_SQL})")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best neighbours of every src in candidates."""
+    return sb.top_items(table(spark, d, "candidates"), 10, low=0.0, high=1.0).select("src", "dst", "place")
+
+
+@R.query("p3_lists", _TOP_SQL)
+def p3_lists(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, with the similarity."""
+    return sb.top_items(table(spark, d, "candidates"), 10, low=0.0, high=1.0)
