@@ -89,14 +89,25 @@ def _may_reach(a, b, p: ChosenPath) -> Column:
 
 
 def candidate_pairs(classes: DataFrame, p: ChosenPath) -> DataFrame:
-    """Distinct candidates (a, b), a < b, of the class representatives."""
-    level = classes.select("rep", "n", "lo", "hi", "toks")
+    """Distinct candidates (a, b), a < b, of the class representatives.
+
+    A token held by at most ``leaf`` sets is a small bucket by itself: all its sets are joined by brute force at once, in no
+    need of sampling or runs. Only pairs that share none of these rare tokens are left to the sampled paths, which therefore
+    follow frequent tokens only; the chance that such a pair is found is not changed by that.
+    """
+    rows = classes.select("rep", "n", "lo", "hi", F.explode("toks").alias("t"))
     total = classes.count()
-    pairs: list[DataFrame] = []
-    scratch: list[DataFrame] = []
     if total <= p.leaf:
-        root = level.select(F.lit(0).alias("path"), "rep", "n", "lo", "hi", F.lit(total).alias("k"))
-        return tiled_self_join(root, "path", "k", "rep", ["n", "lo", "hi"], lambda a, b: _may_reach(a, b, p), p.tile).distinct()
+        root = classes.select(F.lit(0).alias("path"), "rep", "n", "lo", "hi", F.lit(total).alias("k"))
+        return _small_buckets(root, p).distinct()
+    frequent = cut(rows.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.leaf).select("t", F.lit(True).alias("frequent")))
+    scratch: list[DataFrame] = [frequent]
+    small = checked_broadcast(frequent, 32)
+    marked = rows.join(small, "t", "left") if small is not None else salted_join(rows, frequent, "t", "left", spread_by=["rep"])
+    rare = marked.where("frequent IS NULL").select(F.col("t").alias("path"), "rep", "n", "lo", "hi", F.lit(p.leaf).alias("k"))
+    pairs = [_small_buckets(rare, p)]
+    level = cut(marked.where("frequent").groupBy("rep").agg(F.any_value("n").alias("n"), F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"), F.collect_list(F.hash("t")).alias("toks")))
+    scratch.append(level)
     miss, first, depth = 1.0, 0, 2
     while miss > 1 - p.target:
         # as many runs as the depth seen so far asks for; a deeper tree than expected brings another round
@@ -113,7 +124,12 @@ def candidate_pairs(classes: DataFrame, p: ChosenPath) -> DataFrame:
     return result
 
 
+def _small_buckets(rows: DataFrame, p: ChosenPath) -> DataFrame:
+    return tiled_self_join(rows, "path", "k", "rep", ["n", "lo", "hi"], lambda a, b: _may_reach(a, b, p), p.tile)
+
+
 def _runs(sets: DataFrame, runs: range, p: ChosenPath, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Candidates of all given runs, and the number of levels they took."""
     roots = F.transform(F.sequence(F.lit(runs[0]), F.lit(runs[-1])), lambda r: F.xxhash64(r, F.lit(p.seed)))
     big = sets.withColumn("path", F.explode(roots))
     leaves: DataFrame | None = None
@@ -122,8 +138,7 @@ def _runs(sets: DataFrame, runs: range, p: ChosenPath, scratch: list[DataFrame])
         # every set follows those tokens whose value in this bucket is under its bound
         step = big.select("path", "rep", "n", "lo", "hi", "toks", F.explode("toks").alias("t"))
         value = F.xxhash64("path", "t").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-        step = step.where(value < bound)
-        rows = step.select(F.xxhash64("path", "t", F.lit(depth)).alias("path"), "rep", "n", "lo", "hi", "toks")
+        rows = step.where(value < bound).select(F.xxhash64("path", "t", F.lit(depth)).alias("path"), "rep", "n", "lo", "hi", "toks")
         sizes = cut(rows.groupBy("path").agg(F.count("*").alias("k")).where("k > 1"))
         scratch.append(sizes)
         small = checked_broadcast(sizes, 32)
@@ -133,10 +148,11 @@ def _runs(sets: DataFrame, runs: range, p: ChosenPath, scratch: list[DataFrame])
         scratch.append(here)
         part = here.where(F.lit(True) if last else F.col("k") <= p.leaf).select("path", "rep", "n", "lo", "hi", "k")
         leaves = part if leaves is None else leaves.unionByName(part)
-        if last or not here.where(F.col("k") > p.leaf).limit(1).count():
+        big = here.where(F.col("k") > p.leaf)
+        if last or not big.limit(1).count():
             break
-        big = here.where(F.col("k") > p.leaf).drop("k")
-    return tiled_self_join(leaves, "path", "k", "rep", ["n", "lo", "hi"], lambda a, b: _may_reach(a, b, p), p.tile), depth
+        big = big.drop("k")
+    return _small_buckets(leaves, p), depth
 
 
 def similar_classes(classes: DataFrame, p: ChosenPath) -> DataFrame:
