@@ -32,10 +32,10 @@ class ChosenPath:
 
     threshold: float = 0.8
     min_words: int = 5
-    target: float = 0.9995
+    target: float = 0.999
     branching: float = 2.2
-    leaf: int = 64
-    max_depth: int = 6
+    leaf: int = 400
+    max_depth: int = 4
     tile: int = 1024
     seed: int = 17
 
@@ -108,7 +108,7 @@ def candidate_pairs(classes: DataFrame, p: ChosenPath) -> DataFrame:
     pairs = [_small_buckets(rare, p)]
     level = cut(marked.where("frequent").groupBy("rep").agg(F.any_value("n").alias("n"), F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"), F.collect_list(F.hash("t")).alias("toks")))
     scratch.append(level)
-    miss, first, depth = 1.0, 0, 2
+    miss, first, depth = 1.0, 0, 3
     while miss > 1 - p.target:
         # as many runs as the depth seen so far asks for; a deeper tree than expected brings another round
         n_runs = max(1, math.ceil(math.log((1 - p.target) / miss) / math.log(1 - survival(p, depth)) - 1e-9))
