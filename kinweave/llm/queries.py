@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm import bisect, knn
 from kinweave.llm import chosen_path as cp
 from kinweave.llm import score_bands as sb
 from kinweave.plans.registry import Registry
@@ -47,3 +48,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_lists(spark: SparkSession, d: str) -> DataFrame:
     """As p3_found, with the similarity."""
     return sb.top_items(table(spark, d, "candidates"), 10, low=0.0, high=1.0)
+
+
+# --- p5, p6 -----------------------------------------------------------------------------------------------------
+
+P5 = knn.Knn(dim=24, k=10, min_sim=0.25)
+P6 = bisect.Bisecting(dim=24, min_sim=0.25)
+
+
+@R.query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The up to ten most similar other vectors of every usable vector."""
+    return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5).select("src", "dst")
+
+
+@R.query("p5_neighbours")
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_found, with similarity and place."""
+    return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5)
+
+
+@R.query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the sets of mutually similar vectors."""
+    return bisect.similarity_clusters(table(spark, d, "vector_nodes"), P6)[0].select("cluster_id", "id")
+
+
+@R.query("p6_clusters")
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size, leaves, spread over partitions and most typical members of every cluster."""
+    nodes = table(spark, d, "vector_nodes")
+    members, _, classes = bisect.similarity_clusters(nodes, P6)
+    return bisect.describe_clusters(members, classes, nodes, P6)
