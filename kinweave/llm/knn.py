@@ -165,9 +165,10 @@ def nearest_vectors(nodes: DataFrame, p: Knn) -> DataFrame:
             return pd.DataFrame({"rep": reps, "nn": nn, "nd": nd})
 
         sent = cut(own.select("shard", "rep", "vec", "radius").mapInPandas(forward, "rep bigint, vec array<double>, shard bigint"))
-        chunks = sent.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(p.shard_rows)).cast("int").alias("chunks"))  # a row per shard
-        q = sent.join(F.broadcast(chunks), "shard").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        ix = index.join(F.broadcast(chunks), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        chunks = cut(sent.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(p.shard_rows)).cast("int").alias("chunks")))  # a row per shard
+        q = sent.join(F.broadcast(chunks), "shard").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("shard", "chunk", "rep", "vec")
+        per = chunks.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        ix = index.join(F.broadcast(per), "shard").select("shard", "chunk", "reps", *_FLAT)
         tasks = 2 << log2
         q, ix = q.repartition(tasks, "shard", "chunk"), ix.repartition(tasks, "shard", "chunk")
         more = q.groupBy("shard", "chunk").cogroup(ix.groupBy("shard", "chunk")).applyInPandas(search, "rep bigint, nn array<bigint>, nd array<double>")
