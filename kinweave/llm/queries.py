@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bisect, knn
+from kinweave.llm import bisect, knn, mixing, packing, tokens
 from kinweave.llm import chosen_path as cp
 from kinweave.llm import score_bands as sb
 from kinweave.plans.registry import Registry
+from kinweave.session import cut
 from kinweave.sources.tables import table
 
 R = Registry()
@@ -80,3 +81,44 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "vector_nodes")
     members, _, classes = bisect.similarity_clusters(nodes, P6)
     return bisect.describe_clusters(members, classes, nodes, P6)
+
+
+# --- p8, p9 -----------------------------------------------------------------------------------------------------
+
+_PACK_REPORT = "limit_name string, capacity_tokens int, containers bigint, space_left bigint, filled_share double"
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+@R.query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document (or piece of one) for each capacity of pack_limits, and the space it leaves."""
+    return packing.pack_all(_sized(spark, d).select("doc_id", "tokens"), table(spark, d, "pack_limits"))[0]
+
+
+@R.query("p8_space")
+def p8_space(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and space left per capacity."""
+    plans = packing.pack_all(_sized(spark, d).select("doc_id", "tokens"), table(spark, d, "pack_limits"))[1]
+    rows = [(name, p.capacity, p.containers, p.space, round(1 - p.space / (p.containers * p.capacity), 6) if p.containers else 0.0) for name, p in plans]
+    return spark.createDataFrame(rows, _PACK_REPORT)
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets").collect()  # a row per source
+    t = mixing.tilted({r["source"]: (r["target_share"], r["max_repeats"]) for r in targets})
+    return mixing.mix(cut(_sized(spark, d).select("doc_id", mixing.plain_source("source").alias("source"), "tokens")), t)
+
+
+@R.query("p9_mix")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats, in training order."""
+    return _mixed(spark, d)
+
+
+@R.query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of every source."""
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
