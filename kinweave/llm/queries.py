@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bisect, knn, mixing, packing, tokens
+from kinweave.llm import bisect, knn, mixing, packing, pii, tokens
 from kinweave.llm import chosen_path as cp
 from kinweave.llm import score_bands as sb
 from kinweave.plans.registry import Registry
@@ -122,3 +122,21 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached shares of every source."""
     return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+# --- p10 --------------------------------------------------------------------------------------------------------
+
+
+@R.query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Names, e-mail addresses, phone numbers, street addresses and identity numbers in documents.text."""
+    det = pii.detector(brands=pii.brand_words(table(spark, d, "items")))
+    return pii.find(table(spark, d, "documents"), det)
+
+
+@R.query("p10_redacted")
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """documents.text with every piece of personal data replaced by its placeholder."""
+    det = pii.detector(brands=pii.brand_words(table(spark, d, "items")))
+    marks = {r["kind"]: r["placeholder"] for r in table(spark, d, "pii_kinds").collect()}  # five rows
+    return pii.redact(table(spark, d, "documents"), det, marks)
