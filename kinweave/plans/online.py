@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.similarity import Similarity
 from kinweave.operators.graph import drop_nodes, in_neighbours, k_hop, partition_sizes
-from kinweave.operators.topk import arg_max, top_k
+from kinweave.operators.topk import top_k
 from kinweave.plans.builders import block_top_k, score_pairs
+from kinweave.plans.partition import nearest_of
 from kinweave.plans.search import SearchConfig, approximate_search
 from kinweave.session import cut
 
@@ -72,14 +74,13 @@ class OnlineGraph:
         """
         if self.medoids is None:
             return new.select("id", "value", F.lit(0).alias("partition"))
-        p = self.medoids.count()  # one row per partition
-        n = self.nodes.count()
-        cap = max(1.0, self.config.imbalance * n / p)
-        sizes = partition_sizes(self.nodes)
-        m = F.broadcast(self.medoids.select(F.col("partition").alias("p"), F.col("value").alias("_m")).join(sizes, F.col("p") == F.col("partition"), "left").select("p", "_m", F.coalesce("n_nodes", F.lit(0)).alias("size")))
-        s = new.join(m).select("id", "p", (self.similarity.column(F.col("value"), F.col("_m")) * (1 - F.col("size") / F.lit(cap))).alias("score"))
-        best = arg_max(s, "id", "p", "score", ties="random", seed=self.config.seed)
-        return new.join(best, "id", "left").select("id", "value", F.coalesce("p", F.lit(0)).cast("int").alias("partition"))
+        rows = self.medoids.orderBy("partition").collect()  # one row per partition
+        sizes = {r["partition"]: r["n_nodes"] for r in partition_sizes(self.nodes).collect()}
+        cap = max(1.0, self.config.imbalance * sum(sizes.values()) / len(rows))
+        names = [r["partition"] for r in rows]
+        room = np.array([1 - sizes.get(p, 0) / cap for p in names])
+        pick = nearest_of(self.similarity, names, [r["value"] for r in rows], room, self.config.seed)
+        return new.select("id", "value", pick(F.col("id"), F.col("value")).alias("partition"))
 
     def remove(self, ids: DataFrame) -> OnlineGraph:
         """Removes ids(id). Nodes that lose a neighbour are offered all nodes within ``update_depth`` steps of it and of its in-neighbours."""

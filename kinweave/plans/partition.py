@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinweave.functions.encoders import mixing_partition, random_partition
-from kinweave.functions.similarity import Similarity
+from kinweave.functions.similarity import DECIMALS, Similarity
 from kinweave.operators.graph import symmetrise
-from kinweave.operators.topk import arg_max, sample_ids
+from kinweave.operators.topk import sample_ids
 from kinweave.session import cut, drop_cut
 
 
@@ -57,6 +58,26 @@ class Partitioning:
         return self.nodes.repartition(partitions, "partition")
 
 
+def nearest_of(sim: Similarity, names: list[int], values: list, weights: np.ndarray | None = None, seed: int | None = None):
+    """A column function (id, value) -> the name of the most similar of a few values (the first of equal ones, or with ``seed`` one at random).
+
+    ``weights`` multiply the similarities. A value that can be compared with none goes to the first name.
+    """
+
+    @F.pandas_udf("int")
+    def pick(ids: pd.Series, v: pd.Series) -> pd.Series:
+        m = np.round(sim.block(v.tolist(), values), DECIMALS)
+        m = np.where(np.isnan(m), -np.inf, m)
+        if weights is not None:
+            m = np.where(np.isfinite(m), m * weights, m)
+        if seed is not None:
+            tie = np.array([[zlib.crc32(f"{i}:{n}:{seed}".encode()) for n in names] for i in ids]) / 2.0**33
+            m = np.where(m == m.max(axis=1, keepdims=True), tie, -np.inf)
+        return pd.Series(np.array(names)[m.argmax(axis=1)], dtype="int32")
+
+    return pick
+
+
 class Partitioner:
     def partition(self, nodes: DataFrame, edges: DataFrame) -> Partitioning:
         began = time.time()
@@ -139,10 +160,7 @@ class KMedoids(Partitioner):
         names, values = [r["partition"] for r in rows], [r["value"] for r in rows]
         sim, imbalance, p = self.similarity, self.imbalance, len(rows)
         if not np.isfinite(imbalance):
-            m = F.broadcast(medoids.select(F.col("partition").alias("p"), F.col("value").alias("_m")))
-            s = nodes.where("value IS NOT NULL").join(m).select("id", "p", sim.column(F.col("value"), F.col("_m")).alias("s"))
-            best = arg_max(s, "id", "p", "s")
-            return nodes.drop("partition").join(best, "id", "left").withColumn("partition", F.coalesce("p", F.lit(names[0])).cast("int")).drop("p", "s")
+            return nodes.select("id", "value").withColumn("partition", nearest_of(sim, names, values)(F.col("id"), F.col("value")))
         n = nodes.count()
         groups = max(1, -(-n // self.group_rows))
         kind = nodes.schema["value"].dataType.simpleString()
@@ -173,9 +191,12 @@ def swap_candidates(edges: DataFrame, color: DataFrame, sample: int, seed: int)
     deg = sym.join(c.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id"), "color").agg(F.count("*").alias("d"))
     drawn = c.select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
     w = Window.partitionBy("b").orderBy("h", "id")
-    rows = drawn.withColumn("b", F.pmod("h", F.lit(64)))
-    partners = rows.select("id", F.explode(F.array(*[F.lead("id", j).over(w) for j in range(1, max(1, sample) + 1)])).alias("q")).where("q IS NOT NULL").select(F.col("id").alias("p"), "q")
-    pairs = sym.select(F.col("src").alias("p"), F.col("dst").alias("q")).unionByName(partners).where("p <> q").distinct()
+    rows = drawn.withColumn("b", F.pmod("h", F.lit(4096)))
+    pairs = sym.select(F.col("src").alias("p"), F.col("dst").alias("q"))
+    if sample > 0:
+        near = F.array_compact(F.array(*[F.lead("id", j).over(w) for j in range(1, sample + 1)]))
+        pairs = pairs.unionByName(rows.select(F.col("id").alias("p"), F.explode(near).alias("q")))
+    pairs = pairs.where("p <> q").distinct()
     j = pairs.join(c.select(F.col("id").alias("p"), F.col("color").alias("cp")), "p").join(c.select(F.col("id").alias("q"), F.col("color").alias("cq")), "q").where("cp <> cq")
 
     def degree(frame: DataFrame, node: str, col: str, name: str) -> DataFrame:
