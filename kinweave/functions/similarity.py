@@ -193,7 +193,7 @@ def _jaro_winkler_block(a: Sequence, b: Sequence, unit: str) -> np.ndarray:
         m = hits.sum(axis=1)
         for j in np.nonzero(m)[0]:
             k = m[j]
-            t = (x[i, :n][hits[j]] != y[j][used[j]]).sum() / 2
+            t = (x[i, :n][hits[j]] != y[j][used[j]]).sum() // 2
             out[i, j] = (k / n + k / ly[j] + (k - t) / k) / 3
         same = (ly == 0) & (n == 0)
         out[i, same] = 1.0

@@ -243,8 +243,9 @@ class NNDescent(GraphBuilder):
         e = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
         e = e.select("id", "i", F.pmod(F.xxhash64("id", "i", F.lit(self.seed)), F.lit(buckets)).alias("b"), F.xxhash64("id", "i", F.lit(self.seed + 1)).alias("h"))
         w = Window.partitionBy("i", "b").orderBy("h", "id")
-        near = [F.lead("id", j).over(w) for j in range(1, max(2, self.k // 3) + 1)]
-        pairs = e.select(F.col("id").alias("src"), F.explode(F.array_compact(F.array(*near))).alias("dst")).where("src <> dst")
+        ahead = range(1, max(2, self.k // 3) + 1)
+        near = e.select(F.col("id").alias("src"), *[F.lead("id", j).over(w).alias(f"d{j}") for j in ahead])
+        pairs = near.select("src", F.explode(F.array(*[f"d{j}" for j in ahead])).alias("dst")).where("dst IS NOT NULL AND src <> dst")
         return symmetrise(pairs)
 
     def _build(self, nodes: DataFrame) -> DataFrame:

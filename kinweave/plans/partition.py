@@ -194,8 +194,8 @@ def swap_candidates(edges: DataFrame, color: DataFrame, sample: int, seed: int)
     rows = drawn.withColumn("b", F.pmod("h", F.lit(4096)))
     pairs = sym.select(F.col("src").alias("p"), F.col("dst").alias("q"))
     if sample > 0:
-        near = F.array_compact(F.array(*[F.lead("id", j).over(w) for j in range(1, sample + 1)]))
-        pairs = pairs.unionByName(rows.select(F.col("id").alias("p"), F.explode(near).alias("q")))
+        near = rows.select(F.col("id").alias("p"), *[F.lead("id", j).over(w).alias(f"q{j}") for j in range(1, sample + 1)])
+        pairs = pairs.unionByName(near.select("p", F.explode(F.array(*[f"q{j}" for j in range(1, sample + 1)])).alias("q")).where("q IS NOT NULL"))
     pairs = pairs.where("p <> q").distinct()
     j = pairs.join(c.select(F.col("id").alias("p"), F.col("color").alias("cp")), "p").join(c.select(F.col("id").alias("q"), F.col("color").alias("cq")), "q").where("cp <> cq")
 
