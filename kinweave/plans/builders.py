@@ -252,19 +252,22 @@ class NNDescent(GraphBuilder):
         from pyspark.sql.window import Window
 
         nodes = cut(nodes)
-        g = cut(top_k(score_pairs(self.start(nodes), nodes, self.similarity), self.k))
+        g = cut(top_k(score_pairs(self.start(nodes), nodes, self.similarity), self.k).withColumn("fresh", F.lit(True)))
         for it in range(self.iterations):
-            back = g.select(F.col("dst").alias("c"), F.col("src").alias("x"))
+            back = g.select(F.col("dst").alias("c"), F.col("src").alias("x"), "fresh")
             few = back.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("x", F.lit(it)), "x"))).where(F.col("r") <= self.spread).drop("r")
-            around = g.select(F.col("src").alias("c"), F.col("dst").alias("x")).unionByName(few).unionByName(nodes.select(F.col("id").alias("c"), F.col("id").alias("x"))).distinct()
-            two = around.join(around.withColumnRenamed("x", "y"), "c").where("x < y").select("x", "y").distinct()
-            both = two.select(F.col("x").alias("src"), F.col("y").alias("dst"))
-            scored = cut(score_pairs(both, nodes, self.similarity))
-            ways = scored.unionByName(scored.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
-            new = cut(top_k(ways.unionByName(g.select("src", "dst", "sim")), self.k))
-            changed, total = new.join(g.select("src", "dst"), ["src", "dst"], "left_anti").count(), new.count()
+            around = g.select(F.col("src").alias("c"), F.col("dst").alias("x"), "fresh").unionByName(few).groupBy("c", "x").agg(F.max("fresh").alias("fresh"))
+            # pairs of which neither came in last round were scored before
+            other = around.select("c", F.col("x").alias("y"), F.col("fresh").alias("f2"))
+            two = around.join(other, "c").where("x < y AND (fresh OR f2)").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+            scored = cut(score_pairs(two, nodes, self.similarity))
+            known = g.select("src", "dst", "sim")
+            both = scored.unionByName(known)
+            ways = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+            new = cut(top_k(ways, self.k).join(g.select("src", "dst", F.lit(False).alias("_old")), ["src", "dst"], "left").select("src", "dst", "sim", "rank", F.col("_old").isNull().alias("fresh")))
+            changed, total = new.agg(F.coalesce(F.sum(F.col("fresh").cast("bigint")), F.lit(0)), F.count("*")).first()
             drop_cut(scored, g)
             g = new
             if changed <= self.delta * total:
                 break
-        return g
+        return g.drop("fresh")
