@@ -190,45 +190,61 @@ def _codes(texts: Sequence, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(r) for r in raw])
 
 
+def _jaro_winkler(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Of row i of x (lx[i] codes) and row i of y, all rows at once, position by position."""
+    rows = len(y)
+    reach = np.maximum(np.maximum(lx, ly) // 2 - 1, 0)
+    used, hits = np.zeros(y.shape, dtype=bool), np.zeros(x.shape, dtype=bool)
+    pos, every = np.arange(y.shape[1]), np.arange(rows)
+    widest = int(reach.max()) if rows else 0
+    for p in range(int(lx.max()) if rows else 0):
+        lo, hi = max(0, p - widest), min(y.shape[1], p + widest + 1)
+        if lo >= hi:
+            continue
+        ok = (y[:, lo:hi] == x[:, p : p + 1]) & ~used[:, lo:hi] & (np.abs(pos[lo:hi] - p)[None] <= reach[:, None]) & (p < lx)[:, None]
+        first = ok.argmax(axis=1)
+        got = ok[every, first]
+        used[got, lo + first[got]] = True
+        hits[got, p] = True
+    m = hits.sum(axis=1)
+    # matched codes of either side, row by row in order, lie at the same places of these flat arrays
+    (r, c), (_, e) = np.nonzero(hits), np.nonzero(used)
+    t = np.bincount(r, x[r, c] != y[r, e], rows) // 2 if len(r) else np.zeros(rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(m > 0, (m / lx + m / ly + (m - t) / m) / 3, 0.0)
+    out[(lx == 0) & (ly == 0)] = 1.0
+    width = min(4, x.shape[1], y.shape[1])
+    same = (y[:, :width] == x[:, :width]) & (x[:, :width] >= 0)
+    agree = np.cumprod(same, axis=1).sum(axis=1) if width else np.zeros(rows)
+    return np.where(out > 0.7, out + 0.1 * agree * (1 - out), out)
+
+
 def _jaro_winkler_block(a: Sequence, b: Sequence, unit: str) -> np.ndarray:
     y, ly = _codes(b, unit)
     x, lx = _codes(a, unit)
     out = np.zeros((len(a), len(b)))
-    pos = np.arange(y.shape[1])
     for i in range(len(a)):
         n = int(lx[i])
-        reach = np.maximum(np.maximum(n, ly) // 2 - 1, 0)
-        used = np.zeros(y.shape, dtype=bool)
-        hits = np.zeros((len(b), n), dtype=bool)
-        widest = int(reach.max()) if len(b) else 0
-        for p in range(n):
-            lo, hi = max(0, p - widest), min(y.shape[1], p + widest + 1)
-            if lo >= hi:
-                continue
-            ok = (y[:, lo:hi] == x[i, p]) & ~used[:, lo:hi] & (np.abs(pos[lo:hi] - p)[None] <= reach[:, None])
-            first = ok.argmax(axis=1)
-            got = ok[np.arange(len(b)), first]
-            used[got, lo + first[got]] = True
-            hits[got, p] = True
-        m = hits.sum(axis=1)
-        for j in np.nonzero(m)[0]:
-            k = m[j]
-            t = (x[i, :n][hits[j]] != y[j][used[j]]).sum() // 2
-            out[i, j] = (k / n + k / ly[j] + (k - t) / k) / 3
-        same = (ly == 0) & (n == 0)
-        out[i, same] = 1.0
-        width = min(4, n, y.shape[1])
-        agree = np.cumprod(y[:, :width] == x[i, :width], axis=1).sum(axis=1) if width else np.zeros(len(b))
-        out[i] = np.where(out[i] > 0.7, out[i] + 0.1 * agree * (1 - out[i]), out[i])
-    null_a, null_b = np.array([v is None for v in a], dtype=bool), np.array([v is None for v in b], dtype=bool)
-    out[null_a] = np.nan
-    out[:, null_b] = np.nan
+        out[i] = _jaro_winkler(np.broadcast_to(x[i, : n + 1], (len(b), n + 1)), np.full(len(b), n), y, ly)
+    out[np.array([v is None for v in a], dtype=bool)] = np.nan
+    out[:, np.array([v is None for v in b], dtype=bool)] = np.nan
+    return out
+
+
+def _jaro_winkler_paired(a: Sequence, b: Sequence, unit: str) -> np.ndarray:
+    out = np.full(len(a), np.nan)
+    for lo in range(0, len(a), 2048):
+        p, q = a[lo : lo + 2048], b[lo : lo + 2048]
+        x, lx = _codes(p, unit)
+        y, ly = _codes(q, unit)
+        null = np.array([u is None or v is None for u, v in zip(p, q)], dtype=bool)
+        out[lo : lo + 2048] = np.where(null, np.nan, _jaro_winkler(x, lx, y, ly))
     return out
 
 
 def jaro_winkler(unit: str = "char") -> Similarity:
     """Jaro-Winkler (prefix of up to 4, weight 0.1, only above 0.7), over characters or over UTF-8 bytes. Two empty texts are alike (1)."""
-    return Similarity(f"jaro_winkler_{unit}", lambda a, b: _jaro_winkler_block(a, b, unit))
+    return Similarity(f"jaro_winkler_{unit}", lambda a, b: _jaro_winkler_block(a, b, unit), paired=lambda a, b: _jaro_winkler_paired(a, b, unit))
 
 
 def _dtw(a: Sequence[float], b: Sequence[float]) -> float:

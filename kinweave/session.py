@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -90,22 +91,14 @@ def _clean() -> None:
     spark = SparkSession.getActiveSession()
     for path in list(_written):
         try:
-            if spark is not None:
-                _delete(spark, path)
-            elif path.startswith("file://"):
-                import shutil
-
-                shutil.rmtree(path[7:], ignore_errors=True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
-            pass
+            if path.startswith("file://"):
+                shutil.rmtree(path[7:], ignore_errors=True)
+    if _own_dir is not None:
+        shutil.rmtree(_own_dir, ignore_errors=True)
 
 
 def cores(spark: SparkSession) -> int:
     """Tasks that can run at once, for sizing the number of salts and tiles."""
     return max(1, spark.sparkContext.defaultParallelism, int(os.environ.get("KINWEAVE_MIN_TASKS", "1")))
-
-
-def release(df: DataFrame | None) -> None:
-    """Unpersist a frame kept with ``persist``."""
-    if df is not None:
-        df.unpersist()

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from kinweave.session import local_session
 
-    s = local_session(8, "tests", **{"spark.driver.memory": "6g"})
+    s = local_session(8, "tests", **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "4"})
     yield s
     s.stop()
 
