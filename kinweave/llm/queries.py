@@ -17,7 +17,16 @@ R = Registry()
 P1 = cp.ChosenPath(threshold=0.6, min_words=5)
 
 
-@R.query("p1_found")
+_PAIRS_SQL = r"""
+WITH v AS (SELECT DISTINCT id, value FROM text_nodes WHERE id IS NOT NULL AND value IS NOT NULL),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(value), '[\p{L}\p{N}]+')) AS t FROM v),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5),
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM w a JOIN w b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * o >= 6 * (x.n + y.n - o)
+"""
+
+
+@R.query("p1_found", _PAIRS_SQL)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ids of text_nodes whose values share at least 60 % of their words."""
     return cp.near_duplicate_pairs(cp.latest_values(table(spark, d, "text_nodes")), P1)
@@ -57,7 +66,19 @@ P5 = knn.Knn(dim=24, k=10, min_sim=0.25)
 P6 = bisect.Bisecting(dim=24, min_sim=0.25)
 
 
-@R.query("p5_found")
+_USABLE = "WITH u AS (SELECT DISTINCT id, value AS v FROM vector_nodes WHERE id IS NOT NULL AND len(value) = 24 AND len(list_filter(value, lambda x: x IS NOT NULL AND isfinite(x))) = 24), "
+_NEAREST_SQL = (
+    _USABLE + "s AS (SELECT a.id AS src, b.id AS dst, 1 / (1 + list_distance(a.v, b.v)) AS sim FROM u a JOIN u b ON a.id <> b.id) "
+    "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS place FROM s WHERE sim >= 0.25) WHERE place <= 10"
+)
+_CLUSTER_SQL = (
+    _USABLE + "e AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON 1 / (1 + list_distance(a.v, b.v)) >= 0.25), "
+    "nb AS (SELECT x, count(*) AS n, min(y) AS m, list(y ORDER BY y) AS l FROM e GROUP BY 1), c AS (SELECT l, count(*) AS k FROM nb GROUP BY 1) "
+    "SELECT m AS cluster_id, x AS id FROM nb JOIN c ON nb.l = c.l WHERE k = n AND n >= 3"
+)
+
+
+@R.query("p5_found", _NEAREST_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The up to ten most similar other vectors of every usable vector."""
     return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5).select("src", "dst")
@@ -69,7 +90,7 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5)
 
 
-@R.query("p6_found")
+@R.query("p6_found", _CLUSTER_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of the sets of mutually similar vectors."""
     return bisect.similarity_clusters(table(spark, d, "vector_nodes"), P6)[0].select("cluster_id", "id")
