@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import encoders
 from kinweave.functions.similarity import COSINE, DECIMALS, SPARSE_COSINE, Similarity
 from kinweave.operators.graph import symmetrise
+from kinweave.operators.tiles import tiled_self_join
 from kinweave.operators.topk import top_k
 from kinweave.session import cut, drop_cut
 
@@ -223,16 +224,16 @@ def score_pairs(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFram
 class NNDescent(GraphBuilder):
     """Neighbour-of-neighbour refinement: random start lists, then per round all pairs of nodes around a common centre.
 
-    ``iterations`` rounds at most; it stops earlier when under ``delta`` of all places change. Pairs around a centre are joined in at most
-    ``spread`` reverse neighbours, drawn by hash per round, as a hub would give quadratically many (Dong et al., 2011, sample the same way);
-    a node keeps its list even if nothing else is found.
+    ``iterations`` rounds at most; it stops earlier when under ``delta`` of all places change. All neighbours and all reverse neighbours of a centre
+    are joined; a centre with more than ``tile`` of them is joined tile pair by tile pair, so that no task receives a hub.
+    A node keeps its list even if nothing else is found.
     """
 
-    def __init__(self, similarity: Similarity | None = None, k: int = 10, iterations: int = 10, delta: float = 0.002, spread: int = 20, seed: int = 3) -> None:
+    def __init__(self, similarity: Similarity | None = None, k: int = 10, iterations: int = 10, delta: float = 0.002, tile: int = 256, seed: int = 3) -> None:
         super().__init__(similarity, k)
         if iterations <= 0:
             raise ValueError("iterations must be positive")
-        self.iterations, self.delta, self.spread, self.seed = iterations, delta, spread, seed
+        self.iterations, self.delta, self.tile, self.seed = iterations, delta, tile, seed
 
     def start(self, nodes: DataFrame) -> DataFrame:
         """About 2k partners per node: every node enters ten of n / (2k) hashed buckets, and meets the next ones there in a hashed order."""
@@ -248,18 +249,20 @@ class NNDescent(GraphBuilder):
         pairs = near.select("src", F.explode(F.array(*[f"d{j}" for j in ahead])).alias("dst")).where("dst IS NOT NULL AND src <> dst")
         return symmetrise(pairs)
 
-    def _build(self, nodes: DataFrame) -> DataFrame:
-        from pyspark.sql.window import Window
+    def around(self, g: DataFrame) -> DataFrame:
+        """(src, dst), src < dst: pairs around a common centre of which at least one came to it in the last round; all others were scored before."""
+        both = g.select(F.col("src").alias("c"), F.col("dst").alias("x"), "fresh").unionByName(g.select(F.col("dst").alias("c"), F.col("src").alias("x"), "fresh"))
+        around = cut(both.groupBy("c", "x").agg(F.max("fresh").alias("fresh")))
+        large = F.broadcast(cut(around.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > self.tile)))  # at most rows / tile
+        sized = around.join(large, "c", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        pairs = tiled_self_join(sized, "c", "n", "x", ["fresh"], lambda x, y: x("fresh") | y("fresh"), self.tile)
+        return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
+    def _build(self, nodes: DataFrame) -> DataFrame:
         nodes = cut(nodes)
         g = cut(top_k(score_pairs(self.start(nodes), nodes, self.similarity), self.k).withColumn("fresh", F.lit(True)))
-        for it in range(self.iterations):
-            back = g.select(F.col("dst").alias("c"), F.col("src").alias("x"), "fresh")
-            few = back.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("x", F.lit(it)), "x"))).where(F.col("r") <= self.spread).drop("r")
-            around = g.select(F.col("src").alias("c"), F.col("dst").alias("x"), "fresh").unionByName(few).groupBy("c", "x").agg(F.max("fresh").alias("fresh"))
-            # pairs of which neither came in last round were scored before
-            other = around.select("c", F.col("x").alias("y"), F.col("fresh").alias("f2"))
-            two = around.join(other, "c").where("x < y AND (fresh OR f2)").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+        for _ in range(self.iterations):
+            two = self.around(g)
             scored = cut(score_pairs(two, nodes, self.similarity))
             known = g.select("src", "dst", "sim")
             both = scored.unionByName(known)

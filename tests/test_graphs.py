@@ -136,6 +136,27 @@ def test_nn_descent_recall_on_texts(texts):
     assert recall(builders.NNDescent(sim, 10, iterations=5).build(texts), want) >= 0.9
 
 
+def test_nn_descent_joins_all_neighbours_of_a_hub(spark):
+    # node 0 is in the lists of 1..60, and of these only 60 is new to it; tiles of 16 cut the centre
+    g = spark.createDataFrame([(i, 0, 0.5, i == 60) for i in range(1, 61)], "src bigint, dst bigint, sim double, fresh boolean")
+    got = [tuple(r) for r in builders.NNDescent(similarity.L2, 10, tile=16).around(g).collect()]
+    assert sorted(got) == [(i, 60) for i in range(1, 60)]
+    every = builders.NNDescent(similarity.L2, 10, tile=16).around(g.withColumn("fresh", F.lit(True))).collect()
+    assert len(every) == 60 * 59 // 2
+
+
+def test_nn_descent_finds_all_around_a_hub(spark):
+    # every list of one neighbour names the node in the middle, or one that is nearer still and is met only through it
+    rows = [(0, [0.0, 0.0])] + [(i, [math.cos(i // 2 * 0.07) * (1 + i % 2 * 1e-3), math.sin(i // 2 * 0.07) * (1 + i % 2 * 1e-3)]) for i in range(2, 82)]
+    df = spark.createDataFrame(rows, "id bigint, value array<double>")
+    e = [(i, 0, 0.5, True) for i in range(2, 82)]
+    b = builders.NNDescent(similarity.L2, 1, tile=16)
+    pairs = b.around(spark.createDataFrame(e, "src bigint, dst bigint, sim double, fresh boolean"))
+    scored = builders.score_pairs(pairs, df, similarity.L2)
+    ways = scored.unionByName(scored.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+    assert {(r["src"], r["dst"]) for r in topk.top_k(ways, 1).collect()} == {(i, i ^ 1) for i in range(2, 82)}
+
+
 def test_ctph_and_lsh_recall(texts, mixture, exact):
     sim = similarity.jaro_winkler()
     want = builders.Brute(sim, 5).build(texts)
