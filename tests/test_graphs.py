@@ -193,6 +193,33 @@ def test_approximate_search_hits(spark, mixture, exact):
         search.SearchConfig(speedup=0.5)
 
 
+def test_search_goes_on_until_the_budget_is_spent(mixture, exact):
+    nodes = mixture.withColumn("partition", encoders.mixing_partition(F.col("id"), 4))
+    q = mixture.where("id % 40 = 0").select(F.col("id").alias("query_id"), "value")
+    want = {(r["query_id"], r["dst"]) for r in search.exhaustive_search(mixture, q, 11, similarity.L2).where("query_id <> dst").collect()}
+    for found, metrics in (
+        search.approximate_search(nodes, graph.symmetrise(exact), q, similarity.L2, search.SearchConfig(10, 4, restart_at_boundary=False, keep_self=False)),
+        search.naive_search(nodes, graph.symmetrise(exact), q, similarity.L2, 10, 4, keep_self=False),
+    ):
+        got = {(r["query_id"], r["dst"]) for r in found.collect()}
+        assert len(got) == 300 and len(want & got) >= 0.9 * len(want)
+        assert {r["similarities"] for r in metrics.collect()} == {300}
+
+
+def test_walks_restart_beyond_a_border(spark):
+    # a chain of which every two nodes are a partition, in which only the first partition has a start
+    nodes = spark.createDataFrame([(i, [float(i)], i // 2) for i in range(6)], "id bigint, value array<double>, partition int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "src bigint, dst bigint")
+    q = spark.createDataFrame([(100, [5.0])], "query_id bigint, value array<double>")
+    only = spark.createDataFrame([(0, 0)], "id bigint, partition int")
+    from unittest.mock import patch
+
+    with patch.object(search, "sample_ids", lambda *a, **k: only):
+        confined = search.approximate_search(nodes, edges.where("floor(src / 2) = floor(dst / 2)"), q, similarity.L2, search.SearchConfig(1, 1, restart_at_boundary=True))[0]
+        found, metrics = search.naive_search(nodes, edges, q, similarity.L2, 1, 1)
+        assert confined.first()["dst"] == 1 and found.first()["dst"] == 5 and metrics.first()["similarities"] == 6
+
+
 def test_online_add_and_remove(mixture, exact):
     base = mixture.where("id >= 60")
     g = OnlineGraph(base, cut(builders.Brute(similarity.L2, 10).build(base)), similarity.L2, 10, OnlineConfig(exhaustive=True))
