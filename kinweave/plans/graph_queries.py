@@ -288,17 +288,22 @@ def _known_edges(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(_edges(spark, d), K)
 
 
+def _search_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Usable vectors whose id is divisible by 100, as queries."""
+    return _usable(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "value")
+
+
 @R.query("approximate_search")
 def approximate_search(spark: SparkSession, d: str) -> DataFrame:
-    """Graph walks from the medoids over the stored vector graph."""
-    q = table(spark, d, "medoids").select(F.col("id").alias("query_id"), "value")
-    return _rounded(search.approximate_search(_usable(spark, d), _known_edges(spark, d), q, similarity.L2, search.SearchConfig(k=1, speedup=4, restart_at_boundary=False))[0], "query_id", "dst")
+    """Graph walks from a hundredth of the vectors over the stored vector graph, both ways, themselves left out."""
+    c = search.SearchConfig(k=K, speedup=4, restart_at_boundary=False, keep_self=False)
+    return _rounded(search.approximate_search(_usable(spark, d), graph.symmetrise(_known_edges(spark, d)), _search_vectors(spark, d), similarity.L2, c)[0], "query_id", "dst")
 
 
 @R.query("naive_search")
 def naive_search(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "medoids").select(F.col("id").alias("query_id"), "value")
-    return _rounded(search.naive_search(_usable(spark, d), _known_edges(spark, d), q, similarity.L2, 1, 4)[0], "query_id", "dst")
+    """The same inside the stored partitions, restarted at their borders."""
+    return _rounded(search.naive_search(_usable(spark, d), graph.symmetrise(_known_edges(spark, d)), _search_vectors(spark, d), similarity.L2, K, 4, keep_self=False)[0], "query_id", "dst")
 
 
 # --- maintenance ------------------------------------------------------------------------------------------------------
