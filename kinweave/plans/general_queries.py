@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators.diff import field_differences
+from kinweave.operators.diff import field_differences, residues
 from kinweave.operators.eager import eager_profile, heavy_groups
 from kinweave.operators.orphans import orphan_references, with_period
 from kinweave.plans.registry import Registry
@@ -133,3 +133,14 @@ def p7_difference_counts(spark: SparkSession, d: str) -> DataFrame:
     """Differences per kind."""
     per_src = _differences(spark, d).groupBy("difference", "src").agg(F.count("*").alias("n"))
     return per_src.groupBy("difference").agg(F.sum("n").alias("n_pairs"), F.count("src").alias("n_src"))
+
+
+@R.query(
+    "p7_surplus_rows",
+    "SELECT 'edges' AS tab_name, *, count(*) AS surplus FROM (SELECT src, dst, sim, rank, written_at FROM edges EXCEPT ALL SELECT src, dst, sim, rank, written_at FROM edges_copy) GROUP BY ALL "
+    "UNION ALL SELECT 'edges_copy', *, count(*) FROM (SELECT src, dst, sim, rank, written_at FROM edges_copy EXCEPT ALL SELECT src, dst, sim, rank, written_at FROM edges) GROUP BY ALL",
+)
+def p7_surplus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that one of the two tables holds more often, repeats counted, and how many more."""
+    r = residues(table(spark, d, "edges"), table(spark, d, "edges_copy"), ["src", "dst", "sim", "rank", "written_at"], repeats=True)
+    return r.select(F.when(F.col("side") > 0, "edges").otherwise("edges_copy").alias("tab_name"), "src", "dst", "sim", "rank", "written_at", "surplus")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -101,4 +100,4 @@ def _clean() -> None:
 
 def cores(spark: SparkSession) -> int:
     """Tasks that can run at once, for sizing the number of salts and tiles."""
-    return max(1, spark.sparkContext.defaultParallelism, int(os.environ.get("KINWEAVE_MIN_TASKS", "1")))
+    return max(1, spark.sparkContext.defaultParallelism)

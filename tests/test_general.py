@@ -91,9 +91,32 @@ def test_differences(spark):
     assert got == {(1, 3, "sim"), (1, 3, "rank"), (2, 1, "sim"), (5, 5, "not_in_copy"), (6, 6, "only_in_copy")}
     assert residues(a, a, ["src", "dst", "sim", "rank"]).count() == 0
     assert residues(a, a.distinct(), ["src", "dst", "sim", "rank"], repeats=True).count() == 1
+    two = spark.createDataFrame([(1, 2, 0.5, 1), (1, 2, 0.6, 1), (3, 3, 0.1, 1), (3, 3, 0.2, 1)], EDGE)
+    one = spark.createDataFrame([(1, 2, 0.5, 1), (3, 3, 0.2, 1), (3, 3, 0.1, 1), (None, 4, 0.2, 1)], EDGE)
+    assert {tuple(r) for r in field_differences(two, one, ["src", "dst"], {"sim": 1e-9, "rank": None}).collect()} == {(1, 2, "sim"), (None, 4, "only_in_copy")}
+    assert {tuple(r) for r in field_differences(one, two, ["src", "dst"], {"sim": 1e-9, "rank": None}).collect()} == {(1, 2, "sim"), (None, 4, "not_in_copy")}
     assert field_differences(a.limit(0), b, ["src", "dst"], {"sim": 1e-9}).count() == b.select("src", "dst").distinct().count()
 
 
+def test_except_all_keeps_surplus_counts(spark, duck):
+    r = np.random.default_rng(4)
+    a, b = (spark.createDataFrame([(int(x), None if y == 3 else float(y)) for x, y in r.integers(0, 4, (60, 2))], "x int, y double") for _ in range(2))
+    got = sorted((str(t[:3]), t[3]) for t in map(tuple, residues(a, b, ["x", "y"], repeats=True).collect()))
+    pa, pb = a.toPandas(), b.toPandas()  # noqa: F841 - read by name
+    sql = "SELECT x, CASE WHEN isnan(y) THEN NULL ELSE y END AS y, {s} AS side, count(*) AS n FROM (SELECT * FROM {l} EXCEPT ALL SELECT * FROM {r}) GROUP BY ALL"
+    want = duck.execute(sql.format(s=1, l="pa", r="pb")).fetchall() + duck.execute(sql.format(s=-1, l="pb", r="pa")).fetchall()
+    assert got == sorted((str((x, y, s)), n) for x, y, s, n in want) and max(n for *_, n in want) > 1
+
+
+def test_keys_with_many_rows_are_heavy_and_joined_in_proportion(spark, monkeypatch):
+    from kinweave.operators import skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 4)
+    df = spark.range(4000).select((F.col("id") % 500).alias("k"), "id")
+    assert skew.heavy_keys(df, "k", rows=4).count() == 500 and skew.heavy_keys(df, "k", rows=4000).count() == 0
+    assert skew.salted_join(df, spark.range(250).withColumnRenamed("id", "k"), "k", heavy=skew.heavy_keys(df, "k", rows=4)).count() == 2000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_union_find(spark, seed):
     rng = np.random.default_rng(seed)
