@@ -11,14 +11,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import connected_components
-from kinweave.operators.skew import checked_broadcast, salted_join
+from kinweave.operators.skew import salted_join
 from kinweave.operators.tiles import tiled_self_join
-from kinweave.session import cut, drop_cut
+from kinweave.session import BROADCAST_BYTES, cut, drop_cut
 
 #: A word is a run of letters and digits of the lower-cased text.
 WORD = r"[\p{L}\p{N}]+"
@@ -26,36 +28,48 @@ WORD = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class ChosenPath:
-    """Parameters. ``threshold``: least Jaccard similarity; ``target``: recall aimed at for a pair just at it;
-    ``branching``: shared tokens that such a pair is expected to follow per level; ``leaf``: rows up to which a bucket is
-    joined by brute force; ``max_depth``: levels after which what is left is joined in tiles, whatever its size."""
+    """Parameters. ``threshold``: least Jaccard similarity; ``target``: chance of being found for a pair just at it, of the least favourable sizes;
+    ``branching``: common words that such a pair is expected to follow per level; ``leaf``: rows up to which a bucket is joined by brute
+    force; ``stuck``: a bucket whose split would leave this many times the pairs it has is joined as it is, in tiles of ``tile`` rows.
+
+    With branching 1.3 and stuck 3 the trees end by themselves: even a bucket of all but equal sets has less than one sub-bucket
+    of its own size, on average, that is split again."""
 
     threshold: float = 0.8
     min_words: int = 5
-    target: float = 0.999
-    branching: float = 2.2
-    leaf: int = 400
-    max_depth: int = 4
+    target: float = 0.99
+    branching: float = 1.3
+    leaf: int = 100
+    stuck: float = 3.0
     tile: int = 1024
     seed: int = 17
 
+    @property
+    def common(self) -> float:
+        """A set of k words has at least ``common`` * k of them in common with any set at the threshold."""
+        return 2 * self.threshold / (1 + self.threshold)
+
 
 def survival(p: ChosenPath, depth: int) -> float:
     """Least probability that one run of ``depth`` levels brings a pair at the threshold into one leaf.
 
-    The pair follows a common token if its value is under the smaller of both sets' bounds, as those of one bucket are
-    drawn once for all sets. Of all sizes of the two sets the worst is taken; with the larger of n words, the smaller one
-    of k shares at least threshold / (1 + threshold) * (n + k).
+    The pair follows a common word if its value is under the smaller of both sets' bounds, as those of one bucket are
+    drawn once for all sets. A word is followed once on a path, so that both sets lose it. Of all sizes of the two sets the worst is taken;
+    with the larger of n words, the smaller one of k shares at least threshold / (1 + threshold) * (n + k). A pair with no common word left
+    is found, as the smaller set is finished by then (see ``_runs``).
     """
+
+    def found(n: int, s: int, level: int) -> float:
+        if s <= level or level >= depth:
+            return 1.0
+        left = p.threshold * n - level
+        pick = 1.0 if left <= p.branching else p.branching / left
+        return 1 - (1 - pick * found(n, s, level + 1)) ** (s - level)
+
     worst = 1.0
     for n in [*range(max(1, p.min_words), 80), 200, 1000]:
-        k = max(p.min_words, math.ceil(p.threshold * n - 1e-9))
-        s = math.ceil(p.threshold / (1 + p.threshold) * (n + k) - 1e-9)
-        pick = min(1.0, p.branching / (p.threshold * n))
-        q = 1.0
-        for _ in range(depth):
-            q = 1 - (1 - pick * q) ** s
-        worst = min(worst, q)
+        for k in {max(p.min_words, math.ceil(p.threshold * n - 1e-9)), n}:
+            worst = min(worst, found(n, math.ceil(p.threshold / (1 + p.threshold) * (n + k) - 1e-9), 0))
     return worst
 
 
@@ -89,70 +103,101 @@ def _may_reach(a, b, p: ChosenPath) -> Column:
 
 
 def candidate_pairs(classes: DataFrame, p: ChosenPath) -> DataFrame:
-    """Distinct candidates (a, b), a < b, of the class representatives.
+    """Distinct candidates (a, b), a < b, of the class representatives: the pairs of all buckets of all runs that pass the exact bounds.
 
-    A token held by at most ``leaf`` sets is a small bucket by itself: all its sets are joined by brute force at once, in no
-    need of sampling or runs. Only pairs that share none of these rare tokens are left to the sampled paths, which therefore
-    follow frequent tokens only; the chance that such a pair is found is not changed by that.
+    Every set enters every run with all its words. As many runs are made as the depth of their trees asks for; should the trees get
+    deeper than expected, another round of runs follows.
     """
-    rows = classes.select("rep", "n", "lo", "hi", F.explode("toks").alias("t"))
-    total = classes.count()
-    if total <= p.leaf:
-        root = classes.select(F.lit(0).alias("path"), "rep", "n", "lo", "hi", F.lit(total).alias("k"))
-        return _small_buckets(root, p).distinct()
-    frequent = cut(rows.groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.leaf).select("t", F.lit(True).alias("frequent")))
-    scratch: list[DataFrame] = [frequent]
-    small = checked_broadcast(frequent, 32)
-    marked = rows.join(small, "t", "left") if small is not None else salted_join(rows, frequent, "t", "left", spread_by=["rep"])
-    rare = marked.where("frequent IS NULL").select(F.col("t").alias("path"), "rep", "n", "lo", "hi", F.lit(p.leaf).alias("k"))
-    pairs = [_small_buckets(rare, p)]
-    level = cut(marked.where("frequent").groupBy("rep").agg(F.any_value("n").alias("n"), F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"), F.collect_list(F.hash("t")).alias("toks")))
-    scratch.append(level)
-    miss, first, depth = 1.0, 0, 3
-    while miss > 1 - p.target:
-        # as many runs as the depth seen so far asks for; a deeper tree than expected brings another round
+    miss, first, depth = 1.0, 0, 6
+    scratch: list[DataFrame] = []
+    pairs: list[DataFrame] = []
+    while miss > 1 - p.target + 1e-12:
         n_runs = max(1, math.ceil(math.log((1 - p.target) / miss) / math.log(1 - survival(p, depth)) - 1e-9))
-        got, reached = _runs(level, range(first, first + n_runs), p, scratch)
-        pairs.append(got)
+        got, reached = _runs(classes, range(first, first + n_runs), p, scratch)
+        pairs += got
         first, depth = first + n_runs, max(depth, reached)
         miss = (1 - survival(p, depth)) ** first
-    out = pairs[0]
-    for x in pairs[1:]:
-        out = out.unionByName(x)
-    result = cut(out.distinct())
+    if not pairs:
+        return cut(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    result = cut(reduce(DataFrame.unionByName, pairs).distinct())
     drop_cut(*scratch)
     return result
 
 
-def _small_buckets(rows: DataFrame, p: ChosenPath) -> DataFrame:
-    return tiled_self_join(rows, "path", "k", "rep", ["n", "lo", "hi"], lambda a, b: _may_reach(a, b, p), p.tile)
+_CARRY = ["n", "lo", "hi"]
+#: Rows of (path, size) up to which they are broadcast.
+MOST_SIZES = BROADCAST_BYTES // 32
+
 
+def _runs(classes: DataFrame, runs: range, p: ChosenPath, scratch: list[DataFrame]) -> tuple[list[DataFrame], int]:
+    """Candidates of all given runs, and the number of levels they took.
 
-def _runs(sets: DataFrame, runs: range, p: ChosenPath, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
-    """Candidates of all given runs, and the number of levels they took."""
+    Three kinds of buckets are joined by brute force and not split further: those of at most ``leaf`` rows; those that
+    splitting does not help, as the sum of the squared sizes of their sub-buckets is ``stuck`` times their own squared size or more (the sets in them
+    are alike, and most of the pairs asked for); and, against the rest of their bucket, sets that are finished: sets that followed
+    so many words that a pair at the threshold may have no common word left. So no depth has to be set: every level uses up a word of each path.
+    """
+    ints = F.transform("toks", lambda t: F.shiftright(t, 32).cast("int"))
     roots = F.transform(F.sequence(F.lit(runs[0]), F.lit(runs[-1])), lambda r: F.xxhash64(r, F.lit(p.seed)))
-    big = sets.withColumn("path", F.explode(roots))
-    leaves: DataFrame | None = None
-    bound = F.lit(p.branching / p.threshold) / F.col("n")
-    for depth in range(1, p.max_depth + 1):
-        # every set follows those tokens whose value in this bucket is under its bound
-        step = big.select("path", "rep", "n", "lo", "hi", "toks", F.explode("toks").alias("t"))
+    big = classes.select("rep", *_CARRY, ints.alias("left"), F.explode(roots).alias("path"), F.lit(None).cast("bigint").alias("k"))
+    leaves: list[DataFrame] = []
+    pairs: list[DataFrame] = []
+    for depth in count(1):
+        # every set follows those of its words not yet on the path whose value in this bucket is under its bound: ``branching`` over the common words that a pair at the threshold has left
+        step = big.select("path", "k", "rep", *_CARRY, "left", F.explode("left").alias("t"))
         value = F.xxhash64("path", "t").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-        rows = step.where(value < bound).select(F.xxhash64("path", "t", F.lit(depth)).alias("path"), "rep", "n", "lo", "hi", "toks")
-        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("k")).where("k > 1"))
+        took = step.where(value * (F.col("n") * p.threshold - (depth - 1)) < p.branching)
+        rows = took.select(F.col("path").alias("parent"), F.col("k").alias("of"), F.xxhash64("path", "t", F.lit(depth)).alias("path"), "rep", *_CARRY, "left", "t")
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("k"), F.any_value("parent").alias("parent"), F.any_value("of").alias("of")).where("k > 1"))
         scratch.append(sizes)
-        small = checked_broadcast(sizes, 32)
-        sized = rows.join(small, "path") if small is not None else salted_join(rows, sizes, "path", spread_by=["rep"])
-        last = depth == p.max_depth
-        here = cut(sized if not last else sized.drop("toks"))
-        scratch.append(here)
-        part = here.where(F.lit(True) if last else F.col("k") <= p.leaf).select("path", "rep", "n", "lo", "hi", "k")
-        leaves = part if leaves is None else leaves.unionByName(part)
-        big = here.where(F.col("k") > p.leaf)
-        if last or not big.limit(1).count():
+        per = sizes.groupBy("parent").agg(F.count("*").alias("n"), F.sum((F.col("k") > p.leaf).cast("int")).alias("large"), (F.sum(F.col("k") * F.col("k")) >= F.max(F.col("of") * F.col("of")) * F.lit(p.stuck)).alias("stuck"))
+        alike = F.coalesce(F.col("stuck"), F.lit(False))  # the roots are always split
+        n_sizes, n_stuck, n_large = per.agg(F.sum("n"), F.sum(alike.cast("bigint")), F.sum(F.when(~alike, F.col("large")))).first()
+        if not n_sizes:
+            break
+        if n_stuck:
+            whole = cut(per.where("stuck").select("parent"))
+            scratch.append(whole)
+            pairs.append(_all_pairs(_keyed(big.select("path", "rep", *_CARRY, "k"), whole.select(F.col("parent").alias("path")), n_stuck), p))
+            sizes = sizes.join(F.broadcast(whole) if n_stuck <= MOST_SIZES else whole, "parent", "left_anti")
+        leaf = sizes.where(F.col("k") <= p.leaf).select("path")
+        leaves.append(_keyed(rows.select("path", "rep", *_CARRY), leaf, n_sizes))
+        if not n_large:
             break
-        big = big.drop("k")
-    return _small_buckets(leaves, p), depth
+        going = _keyed(rows.drop("parent", "of"), sizes.where(F.col("k") > p.leaf).select("path", "k"), n_large)
+        big = cut(going.select("path", "k", "rep", *_CARRY, F.array_remove("left", F.col("t")).alias("left")))
+        scratch.append(big)
+        done = F.lit(depth) >= F.ceil(F.col("n") * F.lit(p.common) - 1e-9)
+        if depth >= math.ceil(p.min_words * p.common - 1e-9) and big.where(done).limit(1).count():
+            pairs.append(_against_bucket(big.where(done), big, p))
+    if leaves:
+        pairs.append(_leaf_pairs(reduce(DataFrame.unionByName, leaves), p))
+    return pairs, depth
+
+
+def _keyed(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Rows of the ``n`` paths of ``keys``, whose columns are added; keys travel by broadcast where they are few enough."""
+    return rows.join(F.broadcast(keys), "path") if n <= MOST_SIZES else salted_join(rows, keys, "path", spread_by=["rep"])
+
+
+def _leaf_pairs(leaves: DataFrame, p: ChosenPath) -> DataFrame:
+    """Pairs within buckets of at most ``leaf`` rows, which need no tiles: one shuffle serves both sides."""
+    j = leaves.alias("x").join(leaves.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.rep") < F.col("y.rep")))
+    ok = j.where(_may_reach(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), p))
+    return ok.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _all_pairs(rows: DataFrame, p: ChosenPath) -> DataFrame:
+    return tiled_self_join(rows, "path", "k", "rep", _CARRY, lambda a, b: _may_reach(a, b, p), p.tile)
+
+
+def _against_bucket(some: DataFrame, rows: DataFrame, p: ChosenPath) -> DataFrame:
+    """Pairs of ``some`` with all ``rows`` of their bucket; a large bucket is cut into tiles, to each of which the few are sent."""
+    tiles = F.ceil(F.col("k") / F.lit(p.tile)).cast("int")
+    a = some.select("path", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("o"), *[F.col(c).alias(f"a_{c}") for c in ["rep", *_CARRY]])
+    b = rows.select("path", F.pmod(F.xxhash64("rep", F.lit(77)), tiles).cast("int").alias("o"), *[F.col(c).alias(f"b_{c}") for c in ["rep", *_CARRY]])
+    j = a.join(b, ["path", "o"]).where((F.col("a_rep") != F.col("b_rep")) & _may_reach(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), p))
+    return j.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
 
 
 def similar_classes(classes: DataFrame, p: ChosenPath) -> DataFrame:
@@ -187,10 +232,11 @@ def near_duplicate_pairs(docs: DataFrame, p: ChosenPath) -> DataFrame:
     reduced to one. Equal word sets are one class throughout the join and are expanded at the end only, in tiles where a class is large.
     """
     classes, members, links = near_duplicate_links(docs, p)
-    sized = members.join(classes.where("m > 1").select("rep", "m"), "rep")
+    sized = salted_join(members, classes.where("m > 1").select("rep", "m"), "rep")
     same = tiled_self_join(sized, "rep", "m", "id", [], lambda a, b: F.lit(True), p.tile)
     ma, mb = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    across = links.select("a", "b").join(ma, "a").join(mb, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    one = salted_join(ma, links.select("a", "b"), "a")
+    across = salted_join(one, mb, "b", spread_by=["ia"]).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     return same.unionByName(across).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
@@ -207,5 +253,3 @@ def near_duplicate_groups(docs: DataFrame, p: ChosenPath) -> DataFrame:
     others = ends.join(m.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("o"))
     per_class = m.join(others, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep").select("rep", "component", (F.col("m") - 1 + F.coalesce("o", F.lit(0))).cast("bigint").alias("n_links"))
     return salted_join(members, per_class, "rep").select("id", F.col("rep").alias("class_id"), F.col("component").alias("group_id"), "n_links")
-
-

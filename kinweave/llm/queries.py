@@ -32,7 +32,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cp.near_duplicate_pairs(cp.latest_values(table(spark, d, "text_nodes")), P1)
 
 
-@R.query("p1_groups")
+_GROUPS_SQL = (
+    "WITH RECURSIVE pairs AS (" + _PAIRS_SQL + r"""), e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+sets AS (SELECT id, list_sort(list(DISTINCT t)) AS l FROM (SELECT id, unnest(regexp_extract_all(lower(value), '[\p{L}\p{N}]+')) AS t FROM text_nodes WHERE id IS NOT NULL AND value IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT t) >= 5),
+reach(id, root) AS (SELECT id, id FROM sets UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id),
+g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1), n AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT s.id, min(s.id) OVER (PARTITION BY l) AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM sets s JOIN g ON g.id = s.id LEFT JOIN n ON n.id = s.id
+"""
+)
+
+
+@R.query("p1_groups", _GROUPS_SQL)
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Class, group and number of links of every text node with enough words."""
     return cp.near_duplicate_groups(cp.latest_values(table(spark, d, "text_nodes")), P1)
