@@ -97,7 +97,7 @@ def test_p1_pairs_come_from_sampled_buckets(spark, monkeypatch):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:9], r.choice(words)]))]
     p = cp.ChosenPath(threshold=0.75, min_words=5, leaf=12)
     s = _word_sets(rows)
-    want = {(a, b) for a in s for b in s if a < b and 4 * len(s[a] & s[b]) >= 3 * len(s[a] | s[b])}
+    want = {(a, b) for a in s for b in s if a < b and s[a] != s[b] and 4 * len(s[a] & s[b]) >= 3 * len(s[a] | s[b])}
     kinds, depth = _kinds_of_pairs(spark, rows, p, monkeypatch)
     assert len(want) > 400 and depth >= 2
     assert len(kinds["_leaf_pairs"] & want) >= 0.95 * len(want) and len(set().union(*kinds.values()) & want) >= 0.99 * len(want)
