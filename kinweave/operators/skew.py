@@ -56,6 +56,12 @@ def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
     return F.broadcast(df) if n * row_bytes <= limit else None
 
 
+def sized_join(left: DataFrame, right: DataFrame, key: str, row_bytes: int, how: str = "inner", spread_by: Sequence[str] | None = None) -> DataFrame:
+    """Equi-join on ``key`` that broadcasts ``right`` (rows of ``row_bytes``) if its counted size allows, else a ``salted_join``. Count a written table, not a long plan."""
+    few = checked_broadcast(right, row_bytes)
+    return left.join(few, key, how) if few is not None else salted_join(left, right, key, how, spread_by=spread_by)
+
+
 def chunk_of(columns: Sequence[str], chunks: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(chunks)).cast("int")
 
