@@ -106,14 +106,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return bisect.similarity_clusters(table(spark, d, "vector_nodes"), P6)[0].select("cluster_id", "id")
 
 
-@R.query("p6_clusters")
+_DESCRIBE_SQL = (
+    f"WITH f AS ({_CLUSTER_SQL}), u AS (SELECT DISTINCT id, value AS v FROM vector_nodes WHERE len(value) = 24), "
+    "p AS (SELECT cluster_id, id, i, v[i] AS x FROM f JOIN u USING (id), range(1, 25) r(i)), c AS (SELECT cluster_id, i, avg(x) AS x FROM p GROUP BY 1, 2), "
+    "d AS (SELECT p.cluster_id, p.id, round(sqrt(sum((p.x - c.x) * (p.x - c.x))), 9) AS dist FROM p JOIN c ON p.cluster_id = c.cluster_id AND p.i = c.i GROUP BY 1, 2), "
+    "n AS (SELECT cluster_id, count(DISTINCT coalesce(partition, -1)) AS n_partitions FROM f JOIN (SELECT DISTINCT id, partition FROM vector_nodes) USING (id) GROUP BY 1) "
+    "SELECT cluster_id, count(*) AS n_members, any_value(n_partitions) AS n_partitions, (list(id ORDER BY dist, id))[:3] AS typical_ids, round(max(dist), 6) AS max_distance FROM d JOIN n USING (cluster_id) GROUP BY 1"
+)
+
+
+@R.query("p6_clusters", _DESCRIBE_SQL)
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Size, leaves, spread over partitions and most typical members of every cluster."""
+    """Size, spread over partitions and most typical members of every cluster."""
     nodes = table(spark, d, "vector_nodes")
     members, _, classes = bisect.similarity_clusters(nodes, P6)
     return bisect.describe_clusters(members, classes, nodes, P6)
 
 
+@R.query("p6_leaves")
+def p6_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of the tree: distinct vectors, radius and, where it belongs to one, the cluster."""
+    return bisect.similarity_clusters(table(spark, d, "vector_nodes"), P6)[1].select("leaf", "cluster_id", "n", F.round("radius", 6).alias("radius"))
+
+
 # --- p8, p9 -----------------------------------------------------------------------------------------------------
 
 _PACK_REPORT = "limit_name string, capacity_tokens int, containers bigint, space_left bigint, filled_share double"

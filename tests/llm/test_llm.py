@@ -193,7 +193,10 @@ def test_p6_equals_brute_force(spark, local):
     members, leaves, classes = bisect.similarity_clusters(df, p)
     got = {(r["cluster_id"], r["id"]) for r in members.collect()}
     assert want and got == want
-    assert leaves.where("leaf IS NULL").count() == 0
+    leaf = {r["leaf"]: r for r in leaves.collect()}
+    reps = {r["rep"]: np.array(r["vec"]) for r in classes.collect()}
+    assert sum(r["n"] for r in leaf.values()) == len(reps) and all(r["radius"] <= 3.0 for r in leaf.values())
+    assert {m["leaf"] for m in members.collect()} == {k for k, r in leaf.items() if r["cluster_id"] is not None} and len(leaf) < len(reps)
     d = {r["cluster_id"]: r for r in bisect.describe_clusters(members, classes, df, p).collect()}
     sizes = Counter(c for c, _ in want)
     assert {c: r["n_members"] for c, r in d.items()} == dict(sizes)
