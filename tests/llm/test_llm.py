@@ -362,10 +362,10 @@ def test_p10_phrases_are_not_those_of_the_tables(duck):
 
 
 def test_p10_words_are_counted_alike_in_both_ways(spark):
-    texts = ["The cat sat on a mat. Cat food, cat toys, Émile.", None, "", "cat and Cat, and cat"]
+    texts = ["The cat sat on a mat. Cat food, cat toys, Émile.", None, "", "cat and Cat, and cat", *["Red Hill", "Red Hill Farm"] * 3, "Red House"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     a, b = pii.words_of(df, frozenset({"mat"}), 1), pii.Words.of([t for t in texts if t], frozenset({"mat"}), 1)
-    assert a.counts == b.counts and a.counts["cat"] == (4, 3) and a.ordinary("mat") and not a.ordinary("émile")
+    assert a.fixed == b.fixed == {"red hill": 6 / 7} and a.counts == b.counts and a.counts["cat"] == (4, 3) and a.ordinary("mat") and not a.ordinary("émile")
     assert pii.words_of(df.limit(0), frozenset()).counts == {}
 
 
