@@ -14,14 +14,15 @@ from pyspark.sql.window import Window
 
 from kinweave.llm.hnsw import Hnsw
 from kinweave.llm.vectors import radius_of, similarity, stack, usable_vectors, vector_classes
-from kinweave.operators.skew import salted_join
-from kinweave.session import cut
+from kinweave.operators.skew import salted_join, sized_join
+from kinweave.session import cut, drop_cut
 
 
 @dataclass(frozen=True)
 class Knn:
-    """``shard_rows``: vectors per shard aimed at; ``m``, ``ef``: links and beam width of the graphs; ``fit_rows``: bound of the sample
-    on which the planes between shards are fitted (at least 64 rows per shard)."""
+    """``shard_rows``: vectors per shard aimed at, a shard of more than twice as many is cut again; ``m``, ``ef``: links and beam width of the graphs;
+    ``fit_rows``: rows of the sample on which a block of at most ``block`` shards is fitted; ``probes``: other shards that a query goes
+    on to at most, nearest planes first (None: all that its ball touches, so that only what the walks miss is lost)."""
 
     dim: int = 24
     k: int = 10
@@ -30,6 +31,8 @@ class Knn:
     m: int = 12
     ef: int = 48
     fit_rows: int = 20000
+    block: int = 256
+    probes: int | None = 24
     seed: int = 5
 
 
@@ -47,15 +50,31 @@ class Planes:
             node = node * 2 + (np.einsum("nd,nd->n", x, self.w[node]) - self.b[node] > 0)
         return node - (1 << self.depth)
 
-    def reach(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, shard) of all shards that a ball around each row touches. Planes bound distances, so no other shard holds a nearer point."""
-        row, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+    def reach(self, x: np.ndarray, radius: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, gap) of the shards that a ball around each row touches, its own first: per row the ``most`` of least gap.
+
+        The gap, the largest distance to a plane that lies between, bounds the distance to anything in the shard from below.
+        """
+        row, node, gap = np.arange(len(x)), np.ones(len(x), dtype=np.int64), np.zeros(len(x))
         for _ in range(self.depth):
             t = np.einsum("nd,nd->n", x[row], self.w[node]) - self.b[node]
-            side = t > 0
-            both = np.abs(t) <= radius[row] * (1 + 1e-9) + 1e-12
-            row, node = np.concatenate([row, row[both]]), np.concatenate([node * 2 + side, node[both] * 2 + ~side[both]])
-        return row, node - (1 << self.depth)
+            side, far = t > 0, np.maximum(gap, np.abs(t))
+            both = far <= radius[row] * (1 + 1e-9) + 1e-12
+            row, node, gap = np.concatenate([row, row[both]]), np.concatenate([node * 2 + side, node[both] * 2 + ~side[both]]), np.concatenate([gap, far[both]])
+        order = np.lexsort((node, gap, row))
+        row, node, gap = row[order], node[order], gap[order]
+        if most is not None:
+            first = np.searchsorted(row, np.arange(len(x)))
+            keep = np.arange(len(row)) - first[row] < most
+            row, node, gap = row[keep], node[keep], gap[keep]
+        return row, node - (1 << self.depth), gap
+
+    def flat(self) -> dict[str, bytes | int]:
+        return {"depth": self.depth, "w": self.w.astype("<f8").tobytes(), "b": self.b.astype("<f8").tobytes()}
+
+    @classmethod
+    def load(cls, depth: int, w: bytes, b: bytes) -> Planes:
+        return cls(np.frombuffer(w, dtype="<f8").reshape(1 << depth, -1), np.frombuffer(b, dtype="<f8"), depth)
 
 
 def fit_planes(sample: np.ndarray, shards_log2: int, margin: float) -> Planes:
@@ -73,6 +92,9 @@ def fit_planes(sample: np.ndarray, shards_log2: int, margin: float) -> Planes:
             at = t[(np.linspace(0.35, 0.65, 31) * (len(t) - 1)).astype(int)]
             near = np.searchsorted(t, at + margin) - np.searchsorted(t, at - margin)
             b[node] = at[near.argmin()]
+            if b[node] >= t[-1]:  # most points lie at one place of this direction: cut below it
+                lower = t[t < t[-1]]
+                b[node] = (lower[-1] + t[-1]) / 2 if len(lower) else t[-1]
             side = x @ w[node] > b[node]
         else:
             w[node, node % dim] = 1.0
@@ -99,33 +121,66 @@ def _found(reps: np.ndarray, own: np.ndarray, ids: np.ndarray, d2: np.ndarray, l
     return [r[:c] for r, c in zip(lab, count)], [r[:c] for r, c in zip(d2, count)], radius
 
 
+def _block_bytes(p: Knn) -> int:
+    return 64 + 8 * p.block * (p.dim + 1)
+
+
 def nearest_vectors(nodes: DataFrame, p: Knn) -> DataFrame:
     """For every usable vector its k most similar others with similarity of at least ``min_sim``: (src, dst, sim, place).
 
     Similarity is 1 / (1 + Euclidean distance); equal ones rank by smaller id. ``nodes``: (id, value, loaded_at); unusable values take no part,
     re-delivered ids count once, equal vectors are indexed once and expanded at the end. Every vector is indexed and every one is a query.
 
-    1. Planes fitted on a bounded sample cut space into shards of about ``shard_rows`` vectors.
+    1. Planes fitted on a bounded sample cut space into shards of about ``shard_rows`` vectors: a block of up to ``block`` shards from the
+       whole, then blocks of their own, fitted in tasks, for shards that are still too large.
     2. One task per shard builds the shard's graph and searches it for the shard's own vectors, starting at themselves.
-    3. A query goes on to the shards that the ball of its k-th distance (or of ``min_sim``) touches: none of the others can hold
-       a better answer. The shards' flat arrays are read from the written index.
+    3. A query goes on to the shards that the ball of its k-th distance (or of ``min_sim``) touches, nearest first, at most ``probes``: none
+       of the untouched can hold a better answer. The shards' flat arrays are read from the written index.
     4. The shards' results are merged per query.
 
-    What is lost is only what the walk in a graph misses; recall is measured against brute force in the tests.
+    What is lost is what the walk in a graph misses, and what lies beyond the probes; recall is measured against brute force in the tests.
     """
     spark = nodes.sparkSession
     classes, members = vector_classes(usable_vectors(nodes, p.dim), p.k + 1)
     n = classes.count()
-    log2 = max(0, math.ceil(math.log2(max(1, n) / p.shard_rows)))
-    sample = classes.select("vec").orderBy(F.xxhash64("rep", F.lit(p.seed))).limit(max(p.fit_rows, 64 << log2)).toPandas()["vec"] if log2 else pd.Series(dtype=object)
-    planes = fit_planes(stack(sample) if len(sample) else np.zeros((0, p.dim)), log2, min(radius_of(p.min_sim), 1.0))
-    shared = spark.sparkContext.broadcast(planes)  # 2 ** log2 planes, n / shard_rows of them
+    margin = min(radius_of(p.min_sim), 1.0)
+    log2 = min(max(0, math.ceil(math.log2(max(1, n) / p.shard_rows))), int(math.log2(p.block)))
+    sample = classes.select("vec").orderBy(F.xxhash64("rep", F.lit(p.seed))).limit(p.fit_rows).toPandas()["vec"] if log2 else pd.Series(dtype=object)
+    planes = fit_planes(stack(sample) if len(sample) else np.zeros((0, p.dim)), log2, margin)
+    shared = spark.sparkContext.broadcast(planes)  # at most ``block`` planes
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield b.assign(shard=shared.value.homes(stack(b["vec"])))
 
+    def fit(b: pd.DataFrame) -> pd.DataFrame:
+        d = min(max(1, math.ceil(math.log2(int(b["n"].iloc[0]) / p.shard_rows))), int(math.log2(p.block)))
+        return pd.DataFrame([{"shard": int(b["shard"].iloc[0]), **fit_planes(stack(b.sort_values("rep")["vec"]), d, margin).flat()}])
+
+    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (_, depth), part in b.groupby(["shard", "depth"]):
+                f = part.iloc[0]
+                yield pd.DataFrame({"rep": part["rep"], "vec": part["vec"], "shard": part["shard"], "leaf": Planes.load(int(depth), f["w"], f["b"]).homes(stack(part["vec"]))})
+
+    placed = cut(classes.select("rep", "vec").mapInPandas(place, "rep bigint, vec array<double>, shard bigint"))
+    blocks: list[DataFrame] = []
+    below = F.xxhash64("shard", "leaf").alias("shard")
+    while True:
+        sizes = cut(placed.groupBy("shard").agg(F.count("*").alias("n")))
+        large = sizes.where(F.col("n") > 2 * p.shard_rows)
+        if not large.limit(1).count():
+            break
+        few = sized_join(placed, large, "shard", 24).where(F.pmod(F.xxhash64("rep", F.lit(p.seed)), F.ceil(F.col("n") / F.lit(p.fit_rows))) == 0)
+        blocks.append(cut(few.groupBy("shard").applyInPandas(fit, "shard bigint, depth int, w binary, b binary")))
+        inner = sized_join(placed, blocks[-1], "shard", _block_bytes(p)).mapInPandas(deeper, "rep bigint, vec array<double>, shard bigint, leaf bigint")
+        whole = sized_join(placed, large.select("shard"), "shard", 16, "left_anti")
+        after = cut(whole.unionByName(inner.select("rep", "vec", below)))
+        drop_cut(placed)
+        placed = after
+    shards = max(1, sizes.count())
+
     def build(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("rep")
         x, reps = stack(b["vec"]), b["rep"].to_numpy()
@@ -140,20 +195,28 @@ def nearest_vectors(nodes: DataFrame, p: Knn) -> DataFrame:
         return pd.DataFrame({c: pd.Series(v, dtype="Int64" if c in ("rep", "n", "dim", "m") else None if c in ("shard", "radius") else object) for c, v in table.items()})
 
     schema = f"shard bigint, rep bigint, vec array<double>, nn array<bigint>, nd array<double>, radius double, reps binary, {_INDEX}"
-    placed = classes.select("rep", "vec").mapInPandas(place, "rep bigint, vec array<double>, shard bigint")
-    built = cut(placed.repartitionByRange(1 << log2, "shard").groupBy("shard").applyInPandas(build, schema))
+    built = cut(placed.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, schema))
     own = built.where("rep IS NOT NULL")
     index = built.where("rep IS NULL").select("shard", "reps", *_FLAT)
     results = own.select("rep", "nn", "nd")
 
-    if log2:
+    if shards > 1:
+        most = None if p.probes is None else p.probes + 1
+        kind = "rep bigint, vec array<double>, home bigint, radius double, gap double, shard bigint"
+
         def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    row, shard = shared.value.reach(stack(b["vec"]), b["radius"].to_numpy())
-                    away = shard != b["shard"].to_numpy()[row]
-                    row, shard = row[away], shard[away]
-                    yield pd.DataFrame({"rep": b["rep"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "shard": shard})
+                    row, shard, gap = shared.value.reach(stack(b["vec"]), b["radius"].to_numpy(), most)
+                    yield pd.DataFrame({"rep": b["rep"].to_numpy()[row], "vec": b["vec"].to_numpy()[row], "home": b["home"].to_numpy()[row], "radius": b["radius"].to_numpy()[row], "gap": gap, "shard": shard})
+
+        def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for (_, depth), part in b.groupby(["shard", "depth"]):
+                    f, radius = part.iloc[0], part["radius"].to_numpy()
+                    row, leaf, gap = Planes.load(int(depth), f["w"], f["b"]).reach(stack(part["vec"]), radius, most)
+                    up = part.iloc[row]
+                    yield pd.DataFrame({**{c: up[c].to_numpy() for c in ("rep", "vec", "home", "radius", "shard")}, "gap": np.maximum(up["gap"].to_numpy(), gap), "leaf": leaf})
 
         def search(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(ix):
@@ -164,12 +227,19 @@ def nearest_vectors(nodes: DataFrame, p: Knn) -> DataFrame:
             nn, nd, _ = _found(reps, reps, ids, d2, np.frombuffer(f["reps"], dtype="<i8"), p)
             return pd.DataFrame({"rep": reps, "nn": nn, "nd": nd})
 
-        sent = cut(own.select("shard", "rep", "vec", "radius").mapInPandas(forward, "rep bigint, vec array<double>, shard bigint"))
+        ways = own.select("rep", "vec", F.col("shard").alias("home"), "radius").mapInPandas(forward, kind)
+        for block in blocks:
+            inner = sized_join(ways, block, "shard", _block_bytes(p)).mapInPandas(onward, "rep bigint, vec array<double>, home bigint, radius double, shard bigint, gap double, leaf bigint")
+            rest = sized_join(ways, block.select("shard"), "shard", 16, "left_anti")
+            ways = cut(rest.unionByName(inner.select("rep", "vec", "home", "radius", "gap", below)))
+        if blocks and most is not None:
+            ways = ways.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("gap", "shard"))).where(F.col("r") <= most)
+        sent = cut(ways.where("shard <> home").select("rep", "vec", "shard"))
         chunks = cut(sent.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(p.shard_rows)).cast("int").alias("chunks")))  # a row per shard
-        q = sent.join(F.broadcast(chunks), "shard").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("shard", "chunk", "rep", "vec")
+        q = sized_join(sent, chunks, "shard", 24).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("shard", "chunk", "rep", "vec")
         per = chunks.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        ix = index.join(F.broadcast(per), "shard").select("shard", "chunk", "reps", *_FLAT)
-        tasks = 2 << log2
+        ix = index.join(per, "shard").select("shard", "chunk", "reps", *_FLAT)
+        tasks = 2 * shards
         q, ix = q.repartition(tasks, "shard", "chunk"), ix.repartition(tasks, "shard", "chunk")
         more = q.groupBy("shard", "chunk").cogroup(ix.groupBy("shard", "chunk")).applyInPandas(search, "rep bigint, nn array<bigint>, nd array<double>")
         results = results.unionByName(more)

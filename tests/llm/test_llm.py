@@ -163,8 +163,8 @@ def test_p5_recall_in_one_and_in_many_shards(spark):
     df, x = _vectors(spark)
     s, ok = _near(x)
     want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:10] if ok[i, j]}
-    for rows in (16384, 100):
-        p = knn.Knn(dim=8, shard_rows=rows, ef=32)
+    for rows, block, probes in ((16384, 256, 24), (100, 256, None), (40, 4, None), (40, 4, 6)):  # one shard, several, blocks of blocks
+        p = knn.Knn(dim=8, shard_rows=rows, ef=32, block=block, probes=probes)
         got = knn.nearest_vectors(df, p).collect()
         pairs = {(r["src"], r["dst"]) for r in got}
         assert len(pairs) == len(got) and len(pairs & want) / len(want) > 0.99 and len(pairs & want) / len(pairs) > 0.99
@@ -172,6 +172,24 @@ def test_p5_recall_in_one_and_in_many_shards(spark):
     assert knn.nearest_vectors(df.limit(0), knn.Knn(dim=8)).count() == 0
 
 
+def test_p5_planes_bound_distances():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(3000, 6))
+    planes = knn.fit_planes(x, 5, 0.5)
+    assert max(np.bincount(planes.homes(x), minlength=32)) < 400
+    radius = np.full(len(x), 1.0)
+    row, shard, gap = planes.reach(x, radius)
+    assert (shard[np.searchsorted(row, np.arange(len(x)))] == planes.homes(x)).all() and (gap <= 1.0 + 1e-9).all()
+    touched = set(zip(row.tolist(), shard.tolist()))
+    d = ((x[:200, None] - x[None]) ** 2).sum(-1) <= 1.0
+    assert all((i, s) in touched for i, j in zip(*np.nonzero(d)) for s in [planes.homes(x[j : j + 1])[0]])
+    few = planes.reach(x, radius, 3)
+    assert np.bincount(few[0]).max() <= 3 and len(set(few[0])) == len(x)
+    assert knn.fit_planes(np.repeat(np.eye(3), [1, 1, 98], axis=0), 1, 0.1).homes(np.eye(3)).tolist().count(1) in (1, 2)
+    again = knn.Planes.load(**planes.flat())
+    assert (again.homes(x) == planes.homes(x)).all()
+
+
 def test_hnsw_flat_arrays_round_trip():
     x = np.random.default_rng(5).normal(size=(900, 10))
     h = hnsw.Hnsw(x).build()
