@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.skew import heavy_keys, salted_join
+from kinweave.operators.skew import heavy_keys, salted_join, sized_join
+from kinweave.session import cut, drop_cut
 
-#: The filter never exceeds this many 64-bit words (8 MiB), whatever the number of keys.
-MAX_WORDS = 1 << 20
-WORD_KEYS = 4  # keys per word aimed at: 16 bits a key, about 1 % false positives
+WORD_KEYS = 4  # keys per 64-bit word aimed at: 16 bits a key, about 1 % false positives
 _BITS = 4
 
 
@@ -28,38 +25,30 @@ def _mask(key: Column) -> Column:
     return m
 
 
-def bloom_words(keys: DataFrame, key: str) -> np.ndarray:
-    """A register-blocked Bloom filter over all values of ``key``, as an array of 64-bit words.
+def bloom_words(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A register-blocked Bloom filter over all values of ``key``: the table (w, m) of its words that are not empty, and the number of words.
 
-    Built by an aggregation (one word per key, bits combined before the shuffle). Its size is a power of
-    two between 1 and MAX_WORDS words: with more keys it lets more through, which costs time and no
-    exactness. Only this bounded array reaches the driver.
+    Built by an aggregation, bits combined before the shuffle. The number of words is a power of two and follows the number of keys, so the share
+    of false positives is the same at every size.
     """
     n = keys.select(F.approx_count_distinct(key)).first()[0]
     words = 1
-    while words < MAX_WORDS and words * WORD_KEYS < n:
+    while words * WORD_KEYS < n:
         words *= 2
-    rows = (
-        keys.where(F.col(key).isNotNull())
-        .select(_word(F.col(key), words).alias("w"), _mask(F.col(key)).alias("m"))
-        .groupBy("w").agg(F.bit_or("m").alias("m"))
-        .toPandas()
-    )
-    out = np.zeros(words, dtype=np.int64)
-    out[rows["w"].to_numpy()] = rows["m"].to_numpy()
-    return out
+    rows = keys.where(F.col(key).isNotNull()).select(_word(F.col(key), words).alias("w"), _mask(F.col(key)).alias("m"))
+    return cut(rows.groupBy("w").agg(F.bit_or("m").alias("m"))), words
 
 
-def might_contain(key: Column, words: np.ndarray, spark) -> Column:
-    """False proves that ``key`` is not in the filter. The null key gives false."""
-    shared = spark.sparkContext.broadcast(words)
+def might_contain(rows: DataFrame, key: str, bloom: tuple[DataFrame, int], name: str) -> DataFrame:
+    """Adds ``name``: false proves that the key is not in the filter. The null key gives false.
 
-    @F.pandas_udf("boolean")
-    def probe(w: pd.Series, m: pd.Series) -> pd.Series:
-        mask = m.to_numpy()
-        return pd.Series((shared.value[w.to_numpy()] & mask) == mask)
-
-    return key.isNotNull() & probe(F.coalesce(_word(key, len(words)), F.lit(0)), F.coalesce(_mask(key), F.lit(0)))
+    A filter of up to a million words (four million keys) is broadcast; a larger one lies partitioned by the hash of the keys, and
+    rows are sent to the part that holds their word, those of words that are asked for very often spread over several tasks.
+    """
+    table, words = bloom
+    j = sized_join(rows.withColumn("w", F.coalesce(_word(F.col(key), words), F.lit(-1))), table, "w", 16, "left")
+    hit = F.col(key).isNotNull() & F.col("m").isNotNull() & (F.col("m").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)))
+    return j.withColumn(name, F.coalesce(hit, F.lit(False))).drop("w", "m")
 
 
 def node_states(nodes: DataFrame) -> DataFrame:
@@ -80,12 +69,12 @@ def orphan_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     is reported as 'missing'; a null time satisfies neither comparison; a node without added_at exists from
     the start. Repeated references count once. Empty nodes make every reference 'missing'.
     """
-    spark = refs.sparkSession
-    r = refs.select("ref_from", "dst", "at").distinct()
-    words = bloom_words(nodes, "id")
-    marked = r.withColumn("_maybe", might_contain(F.col("dst"), words, spark))
+    bloom = bloom_words(nodes, "id")
+    marked = cut(might_contain(refs.select("ref_from", "dst", "at").distinct(), "dst", bloom, "_maybe"))
+    drop_cut(bloom[0])
     sure = marked.where(~F.col("_maybe")).select("ref_from", "dst", "at", F.lit("missing").alias("kind"))
-    joined = salted_join(marked.where("_maybe").drop("_maybe"), node_states(nodes).withColumn("_known", F.lit(True)), "dst", "left", heavy=heavy_keys(refs, "dst"))
+    maybe = marked.where("_maybe").drop("_maybe")
+    joined = salted_join(maybe, node_states(nodes).withColumn("_known", F.lit(True)), "dst", "left", heavy=heavy_keys(maybe, "dst"))
     kind = F.when(F.col("_known").isNull(), "missing").when(F.col("removed_at") <= F.col("at"), "removed").when(F.col("added_at") > F.col("at"), "early")
     verified = joined.select("ref_from", "dst", "at", kind.alias("kind")).where(F.col("kind").isNotNull())
     return sure.unionByName(verified)
