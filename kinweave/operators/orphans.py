@@ -26,7 +26,7 @@ def _mask(key: Column) -> Column:
 
 
 def bloom_words(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """A register-blocked Bloom filter over all values of ``key``: the table (w, m) of its words that are not empty, and the number of words.
+    """A register-blocked Bloom filter over all values of ``key``: the table (_w, _m) of its words that are not empty, and the number of words.
 
     Built by an aggregation, bits combined before the shuffle. The number of words is a power of two and follows the number of keys, so the share
     of false positives is the same at every size.
@@ -35,8 +35,8 @@ def bloom_words(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     words = 1
     while words * WORD_KEYS < n:
         words *= 2
-    rows = keys.where(F.col(key).isNotNull()).select(_word(F.col(key), words).alias("w"), _mask(F.col(key)).alias("m"))
-    return cut(rows.groupBy("w").agg(F.bit_or("m").alias("m"))), words
+    rows = keys.where(F.col(key).isNotNull()).select(_word(F.col(key), words).alias("_w"), _mask(F.col(key)).alias("_m"))
+    return cut(rows.groupBy("_w").agg(F.bit_or("_m").alias("_m"))), words
 
 
 def might_contain(rows: DataFrame, key: str, bloom: tuple[DataFrame, int], name: str) -> DataFrame:
@@ -46,9 +46,9 @@ def might_contain(rows: DataFrame, key: str, bloom: tuple[DataFrame, int], name:
     rows are sent to the part that holds their word, those of words that are asked for very often spread over several tasks.
     """
     table, words = bloom
-    j = sized_join(rows.withColumn("w", F.coalesce(_word(F.col(key), words), F.lit(-1))), table, "w", 16, "left")
-    hit = F.col(key).isNotNull() & F.col("m").isNotNull() & (F.col("m").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)))
-    return j.withColumn(name, F.coalesce(hit, F.lit(False))).drop("w", "m")
+    j = sized_join(rows.withColumn("_w", F.coalesce(_word(F.col(key), words), F.lit(-1))), table, "_w", 16, "left")
+    hit = F.col(key).isNotNull() & F.col("_m").isNotNull() & (F.col("_m").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key)))
+    return j.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_w", "_m")
 
 
 def node_states(nodes: DataFrame) -> DataFrame:
