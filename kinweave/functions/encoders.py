@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.skew import group_rank, salted_join
+
 #: Multiplier of the one-dimensional edge partitioner (a fixed value).
 MIXING_PRIME = 1125899906842597
 
@@ -23,8 +25,19 @@ def shingle_profile(df: DataFrame, id_col: str, text: str, k: int = 3) -> DataFr
     return s.groupBy("id", "shingle").agg(F.count("*").alias("n"))
 
 
-def sparse_vectors(profile: DataFrame, dims: int = 4096) -> DataFrame:
-    """(id, value): maps from dimension to count, the dimension of a shingle being a hash modulo ``dims`` (no dictionary to build or ship)."""
+def shingle_dictionary(profile: DataFrame) -> DataFrame:
+    """(shingle, dim): the distinct shingles, numbered 0, 1, ... without bringing them into one task."""
+    one = profile.select("shingle", F.lit(0).alias("g")).distinct()
+    return group_rank(one, "g", ["shingle"]).select("shingle", (F.col("rank") - 1).cast("int").alias("dim"))
+
+
+def sparse_vectors(profile: DataFrame, dims: int | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, value): maps from dimension to count. The dimension of a shingle is its number in ``dictionary`` (built if there is none), or with ``dims`` a
+    hash modulo ``dims``, which needs no dictionary but lets shingles fall together."""
+    if dims is None:
+        words = dictionary if dictionary is not None else shingle_dictionary(profile)
+        d = salted_join(profile, words, "shingle", spread_by=["id"])
+        return d.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("int")))).alias("value"))
     d = profile.select("id", F.pmod(F.xxhash64("shingle"), F.lit(dims)).cast("int").alias("dim"), "n")
     per = d.groupBy("id", "dim").agg(F.sum("n").cast("int").alias("n"))
     return per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("value"))
@@ -53,8 +66,29 @@ def superbit_signature(vec: Column, planes: np.ndarray, stages: int, buckets: in
     return F.array(*values)
 
 
-def superbit_signature_sparse(value: Column, planes: np.ndarray, stages: int, buckets: int) -> Column:
-    """As ``superbit_signature`` for maps from dimension (0..dim-1) to number."""
+def hashed_planes(dims: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Components of ``bits`` Gaussian directions at the dimensions given, each from a hash of its place: for spaces too large to tabulate.
+
+    In such spaces random directions are close to orthogonal by themselves.
+    """
+    with np.errstate(over="ignore"):
+        x = (dims.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.arange(bits, dtype=np.uint64)[:, None] + np.uint64(seed * 1000003 + 1)) * np.uint64(0xBF58476D1CE4E5B9))
+        u = []
+        for salt in (1, 2):
+            h = x + np.uint64(salt * 0x632BE59B)
+            for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(k)
+            u.append(((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53)
+    return np.sqrt(-2 * np.log1p(-u[0])) * np.cos(2 * np.pi * u[1])
+
+
+#: Spaces of up to this many dimensions have their directions tabulated.
+TABLED_DIMS = 1 << 16
+
+
+def superbit_signature_sparse(value: Column, planes: np.ndarray, stages: int, buckets: int, hashed: bool = False, seed: int = 11) -> Column:
+    """As ``superbit_signature`` for maps from dimension (0..dim-1) to number. With ``hashed`` directions come from ``hashed_planes``, for any dimension;
+    of ``planes`` only the number counts then. Negative dimensions, and with tabled planes those beyond the table, are an error of the data and left out."""
 
     @F.pandas_udf("array<int>")
     def sign(maps: pd.Series) -> pd.Series:
@@ -64,8 +98,9 @@ def superbit_signature_sparse(value: Column, planes: np.ndarray, stages: int, bu
                 out.append(None)
                 continue
             m = dict(m)
-            dims = np.array([k for k in m if 0 <= k < planes.shape[1]], dtype=int)
-            t = planes[:, dims] @ np.array([m[k] for k in dims], dtype=float) if len(dims) else np.zeros(len(planes))
+            dims = np.array([k for k in m if 0 <= k and (hashed or k < planes.shape[1])], dtype=int)
+            w = hashed_planes(dims, len(planes), seed) if hashed else planes[:, dims]
+            t = w @ np.array([m[k] for k in dims], dtype=float) if len(dims) else np.zeros(len(planes))
             bits = (t >= 0).astype(int)
             out.append([int((bits[s * per : (s + 1) * per] << np.arange(per)).sum() % buckets) for s in range(stages)])
         return pd.Series(out)

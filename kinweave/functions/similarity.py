@@ -134,24 +134,31 @@ def _inverse_block(a: Sequence, b: Sequence) -> np.ndarray:
 INVERSE_ABS = Similarity("inverse_abs", _inverse_block, lambda a, b: 1 / (1 + F.abs(a - b)))
 
 
-def _profile_block(a: Sequence[dict], b: Sequence[dict]) -> np.ndarray:
+def _profile_block(a: Sequence[dict], b: Sequence[dict], width: int = 4096) -> np.ndarray:
+    """Products are summed over ``width`` dimensions at a time, so that a tile is never laid out over all its dimensions."""
     index: dict = {}
-    for s in (*a, *b):
-        for k in s or ():
-            index.setdefault(k, len(index))
 
-    def dense(v: Sequence) -> np.ndarray:
-        out = np.zeros((len(v), max(1, len(index))))
+    def triples(v: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols, vals, norm = [], [], [], np.full(len(v), np.nan)
         for i, s in enumerate(v):
-            for k, n in (s or {}).items():
-                out[i, index[k]] = n
-            if not s:
-                out[i] = np.nan
-        return out
-
-    x, y = dense(a), dense(b)
+            if s:
+                norm[i] = float(sum(float(n) * float(n) for n in s.values())) ** 0.5
+                rows += [i] * len(s)
+                cols += [index.setdefault(k, len(index)) for k in s]
+                vals += [float(n) for n in s.values()]
+        order = np.argsort(np.array(cols, dtype=np.int64), kind="stable")
+        return np.array(rows, dtype=np.int64)[order], np.array(cols, dtype=np.int64)[order], np.array(vals, dtype=float)[order], norm
+
+    (ra, ca, va, na), (rb, cb, vb, nb) = triples(a), triples(b)
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, len(index), width):
+        x, y = np.zeros((len(a), width)), np.zeros((len(b), width))
+        for m, r, c, v in ((x, ra, ca, va), (y, rb, cb, vb)):
+            i, j = np.searchsorted(c, [lo, lo + width])
+            m[r[i:j], c[i:j] - lo] = v[i:j]
+        out += x @ y.T
     with np.errstate(invalid="ignore", divide="ignore"):
-        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        return out / (na[:, None] * nb[None])
 
 
 def _map_dot(a: Column, b: Column) -> Column:
@@ -247,23 +254,38 @@ def jaro_winkler(unit: str = "char") -> Similarity:
     return Similarity(f"jaro_winkler_{unit}", lambda a, b: _jaro_winkler_block(a, b, unit), paired=lambda a, b: _jaro_winkler_paired(a, b, unit))
 
 
-def _dtw(a: Sequence[float], b: Sequence[float]) -> float:
-    x, y = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-    if not len(x) or not len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
-        return float("nan")
-    before = np.full(len(y) + 1, np.inf)
-    before[0] = 0
-    for v in x:
-        cost, row = np.abs(v - y), np.full(len(y) + 1, np.inf)
-        best = np.minimum(before[1:], before[:-1])
-        for j in range(len(y)):
-            row[j + 1] = cost[j] + min(best[j], row[j])
-        before = row
-    return 1 / (1 + float(before[-1]))
+def _dtw_paired(a: Sequence, b: Sequence) -> np.ndarray:
+    """All pairs of the same two lengths at once: one array operation per cell of the warping table."""
+    out = np.full(len(a), np.nan)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is not None and y is not None and len(x) and len(y):
+            shapes.setdefault((len(x), len(y)), []).append(i)
+    for (n, m), at in shapes.items():
+        x, y = (np.array([[np.nan if v is None else v for v in s[i]] for i in at], dtype=float) for s in (a, b))
+        before = np.full((m + 1, len(at)), np.inf)
+        before[0] = 0
+        for i in range(n):
+            row = np.full((m + 1, len(at)), np.inf)
+            for j in range(m):
+                row[j + 1] = np.abs(x[:, i] - y[:, j]) + np.minimum(np.minimum(before[j + 1], before[j]), row[j])
+            before = row
+        fine = np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+        out[at] = np.where(fine, 1 / (1 + before[-1]), np.nan)
+    return out
+
+
+def _dtw_block(a: Sequence, b: Sequence) -> np.ndarray:
+    out = np.full((len(a), len(b)), np.nan)
+    step = max(1, 65536 // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        out[lo : lo + step] = _dtw_paired([x for x in part for _ in b], [y for _ in part for y in b]).reshape(len(part), len(b))
+    return out
 
 
 #: 1 / (1 + dynamic-time-warping distance) of two series.
-DTW = from_scalar("dtw", _dtw)
+DTW = Similarity("dtw", _dtw_block, paired=_dtw_paired)
 
 
 def normalised(v: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.skew import salted_join
 from kinweave.session import cut, drop_cut
 
 
@@ -59,13 +60,13 @@ def colors(nodes: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame, color: DataFrame) -> DataFrame:
     """(id, color, degree): neighbours of each node per partition; partitions without any are absent."""
     c = color.select(F.col("id").alias("dst"), "color")
-    return edges.select("src", "dst").distinct().join(c, "dst").groupBy(F.col("src").alias("id"), "color").agg(F.count("*").alias("degree"))
+    return salted_join(edges.select("src", "dst").distinct(), c, "dst", spread_by=["src"]).groupBy(F.col("src").alias("id"), "color").agg(F.count("*").alias("degree"))
 
 
 def cross_edges(edges: DataFrame, color: DataFrame) -> DataFrame:
     """One row (n_cross, n_edges): edges between partitions, of those with both ends known."""
     a, b = color.select(F.col("id").alias("src"), F.col("color").alias("c1")), color.select(F.col("id").alias("dst"), F.col("color").alias("c2"))
-    j = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+    j = salted_join(salted_join(edges.select("src", "dst").distinct(), a, "src", spread_by=["dst"]), b, "dst", spread_by=["src"])
     return j.agg(F.coalesce(F.sum((~F.col("c1").eqNullSafe(F.col("c2"))).cast("bigint")), F.lit(0)).alias("n_cross"), F.count("*").alias("n_edges"))
 
 
@@ -84,7 +85,7 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, origin: str | None =
     for d in range(1, depth + 1):
         front = seen.where(F.col("hops") == d - 1).drop("hops").withColumnRenamed("id", "src")
         keep = [origin] if origin else []
-        nxt = front.join(edges.select("src", "dst"), "src").select(*keep, F.col("dst").alias("id")).distinct()
+        nxt = salted_join(edges.select("src", "dst"), front, "src", spread_by=["dst"]).select(*keep, F.col("dst").alias("id")).distinct()
         fresh = nxt.join(seen.select(*keys), keys, "left_anti").withColumn("hops", F.lit(d))
         both = cut(seen.unionByName(fresh))
         drop_cut(seen)

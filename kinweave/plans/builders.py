@@ -27,15 +27,19 @@ def block_top_k(left: DataFrame, right: DataFrame, k: int, sim: Similarity, tile
 
     Both sides are cut into tiles of about ``tile`` rows by a hash of the id; each pair of tiles is one group, compared as blocks, and yields k
     rows per left row, which are then merged. Memory per task is bounded by the tile, nothing is broadcast. With ``same`` (left is
-    right) a row is not compared with itself. Null ids and values take no part; each id should occur once.
+    right) a row is not compared with itself, and under a symmetric similarity each pair of tiles is compared once, for both. Null ids and values take no part; each id should occur once.
     """
-    n_left, n_right = left.count(), n_right_count(left, right, same)
+    n_left = left.count()
+    n_right = n_left if same else right.count()
     tl, tr = max(1, math.ceil(n_left / tile)), max(1, math.ceil(n_right / tile))
     kind = _type(left, "value")
 
+    half = same and sim.symmetric
+
     def side(df: DataFrame, own: int, other: int, first: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
-        rest = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        low, high = (F.col("_m") if half and first else F.lit(0)), (F.col("_m") if half and not first else F.lit(other - 1))
+        rest = F.explode(F.sequence(low, high))
         t = df.where("id IS NOT NULL AND value IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "value", mine.alias("_m")).withColumn("_o", rest)
         p, q = ("_m", "_o") if first else ("_o", "_m")
         return t.select(F.col(p).cast("int").alias("p"), F.col(q).cast("int").alias("q"), F.lit(first).alias("l"), "id", "value")
@@ -46,20 +50,29 @@ def block_top_k(left: DataFrame, right: DataFrame, k: int, sim: Similarity, tile
         x, y = b[b["l"]], b[~b["l"]]
         if not len(x) or not len(y):
             return pd.DataFrame({"src": [], "dst": [], "sim": []})
-        y = y.sort_values("id")
+        x, y = x.sort_values("id"), y.sort_values("id")
         xi, yi, yv = x["id"].to_numpy(), y["id"].to_numpy(), y["value"].tolist()
         out = []
+        back = half and b["p"].iloc[0] != b["q"].iloc[0]
+        best_s, best_i = np.full((len(yi), 0), -np.inf), np.zeros((len(yi), 0), dtype=xi.dtype)
         for lo in range(0, len(x), 512):
             m = np.round(sim.block(x["value"].iloc[lo : lo + 512].tolist(), yv), DECIMALS)
             ids = xi[lo : lo + 512]
             m = np.where(np.isnan(m), -np.inf, m)
             if same:
                 m[ids[:, None] == yi[None]] = -np.inf
+            if back:  # the k best so far for the rows of the other tile
+                s, i = np.concatenate([best_s, m.T], axis=1), np.concatenate([best_i, np.broadcast_to(ids, (len(yi), len(ids)))], axis=1)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             n = min(k, len(yi))
             order = np.argsort(-m, axis=1, kind="stable")[:, :n]  # columns ascend by id, so ties do
             s = np.take_along_axis(m, order, 1)
             r, c = np.nonzero(np.isfinite(s))
             out.append(pd.DataFrame({"src": ids[r], "dst": yi[order[r, c]], "sim": s[r, c]}))
+        if back:
+            r, c = np.nonzero(np.isfinite(best_s))
+            out.append(pd.DataFrame({"src": yi[r], "dst": best_i[r, c], "sim": best_s[r, c]}))
         return pd.concat(out, ignore_index=True)
 
     tasks = max(1, min(tl * tr, 2000))
@@ -68,10 +81,6 @@ def block_top_k(left: DataFrame, right: DataFrame, k: int, sim: Similarity, tile
     return top_k(pairs, k, keep_self=not same)
 
 
-def n_right_count(left: DataFrame, right: DataFrame, same: bool) -> int:
-    return left.count() if same else right.count()
-
-
 class GraphBuilder:
     """Base of all builders: ``k`` (default 10) neighbours under ``similarity``; ``build(nodes)`` gives edges(src, dst, sim, rank).
 
@@ -200,8 +209,9 @@ class SuperBitLshSparse(BucketBuilder):
         if min(dim, stages, buckets) <= 0:
             raise ValueError("dim, stages and buckets must be positive")
         bits = max(1, math.ceil(math.log2(max(2, buckets)))) + 1
-        planes = encoders.superbit_planes(min(dim, 1 << 16), bits * stages, seed)
-        super().__init__(lambda v: encoders.superbit_signature_sparse(v, planes, stages, buckets), similarity, k, **more)
+        hashed = dim > encoders.TABLED_DIMS
+        planes = np.zeros((bits * stages, 1)) if hashed else encoders.superbit_planes(dim, bits * stages, seed)
+        super().__init__(lambda v: encoders.superbit_signature_sparse(v, planes, stages, buckets, hashed, seed), similarity, k, **more)
 
 
 class Ctph(BucketBuilder):
