@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import encoders, quality, similarity
@@ -31,15 +31,21 @@ def _search_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "queries").select(F.col("query_id").alias("id"), "value")
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    last = F.struct(F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp_ntz")), F.xxhash64("value", "partition"))
+    return rows.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("value", "partition"), last).alias("s")).select("id", "s.value", "s.partition")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "text_nodes").where("value IS NOT NULL").select("id", "value", "partition").dropDuplicates(["id"])
+    """One row per id that has a text: the one loaded last."""
+    return _latest(table(spark, d, "text_nodes").where("value IS NOT NULL"))
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of 24 finite components, one row per id."""
+    """Vectors of 24 finite components, one row per id: the one loaded last."""
     v = F.col("value")
     fine = (F.size(v) == 24) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return table(spark, d, "vector_nodes").where(v.isNotNull() & fine).select("id", "value", "partition").dropDuplicates(["id"])
+    return _latest(table(spark, d, "vector_nodes").where(v.isNotNull() & fine))
 
 
 def _edges(spark: SparkSession, d: str, name: str = "edges") -> DataFrame:
@@ -118,7 +124,17 @@ def brute_sequence(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(builders.Brute(similarity.SEQUENCE, K).build(table(spark, d, "medoids").select("id", similarity.normalised(F.col("value")).alias("value"))), "src", "dst")
 
 
-@R.query("brute_dtw")
+_DTW_SQL = """
+WITH RECURSIVE p AS (SELECT a.id AS src, b.id AS dst, a.value AS x, b.value AS y FROM medoids a JOIN medoids b ON a.id <> b.id),
+w(src, dst, x, y, i, r) AS (
+  SELECT src, dst, x, y, 0, list_concat([0.0::DOUBLE], list_transform(y, lambda v: 'inf'::DOUBLE)) FROM p
+  UNION ALL
+  SELECT src, dst, x, y, i + 1, list_reduce(list_concat([['inf'::DOUBLE]], list_transform(range(1, len(y) + 1), lambda j: [abs(x[i + 1] - y[j]), least(r[j], r[j + 1])])), lambda acc, c: list_append(acc, c[1] + least(c[2], acc[len(acc)])))
+  FROM w WHERE i < len(x))
+"""
+
+
+@R.query("brute_dtw", _DTW_SQL + _rank_sql("SELECT src, dst, round(1 / (1 + r[len(r)]), 9) AS s FROM w WHERE i = len(x)", 5))
 def brute_dtw(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(builders.Brute(similarity.DTW, 5).build(table(spark, d, "medoids").select("id", "value")), "src", "dst")
 
@@ -148,8 +164,35 @@ def lsh_superbit_inner(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("lsh_superbit_sparse")
 def lsh_superbit_sparse(spark: SparkSession, d: str) -> DataFrame:
-    v = encoders.sparse_vectors(encoders.shingle_profile(table(spark, d, "queries"), "query_id", "value", 3), 4096)
-    return _rounded(builders.SuperBitLshSparse(4096, stages=4, buckets=8, k=K).build(v), "src", "dst")
+    profile = cut(encoders.shingle_profile(table(spark, d, "queries"), "query_id", "value", 3))
+    words = cut(encoders.shingle_dictionary(profile))
+    v = encoders.sparse_vectors(profile, dictionary=words)
+    return _rounded(builders.SuperBitLshSparse(max(1, words.count()), stages=4, buckets=8, k=K).build(v), "src", "dst")
+
+
+def _sign(v: Column) -> Column:
+    """A signature that SQL can give as well: the first and the second component in fifths."""
+    return F.array(*[F.floor(F.get(v, F.lit(i)) * 5).cast("int") for i in (0, 1)])
+
+
+def _bucket_sql(qualified: bool) -> str:
+    code = "concat(1 - i, ':', CAST(floor(v[2 - i] * 5) AS INTEGER))" if qualified else "CAST(floor(v[2 - i] * 5) AS INTEGER)"
+    return (
+        f"WITH e AS {_EMB}, b AS (SELECT DISTINCT id, {code} AS bucket FROM e, range(0, 2) r(i)), p AS (SELECT DISTINCT x.id AS src, y.id AS dst FROM b x JOIN b y ON x.bucket = y.bucket AND x.id <> y.id) "
+        + _rank_sql("SELECT src, dst, round(list_cosine_similarity(x.v, y.v), 9) AS s FROM p JOIN e x ON x.id = src JOIN e y ON y.id = dst")
+    )
+
+
+@R.query("bucket_join_given_signature", _bucket_sql(False))
+def bucket_join(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours among those that share a value of a given signature, whatever its place in it."""
+    return _rounded(builders.BucketBuilder(_sign, similarity.COSINE, K, tile=256).build(_embeddings(spark, d)), "src", "dst")
+
+
+@R.query("bucket_join_by_stage", _bucket_sql(True))
+def bucket_join_by_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The same with buckets kept apart by the place of the value."""
+    return _rounded(builders.BucketBuilder(_sign, similarity.COSINE, K, stage_qualified=True, tile=256).build(_embeddings(spark, d)), "src", "dst")
 
 
 @R.query("nnctph")
@@ -311,14 +354,35 @@ def naive_search(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("online_add")
 def online_add(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings whose id is divisible by 100 are added to the exact graph of the others."""
+    """Embeddings whose id is divisible by 100 are added to the exact graph of the others, their neighbours found by walks."""
+    return _rounded(_added(spark, d, OnlineConfig(speedup=2)), "src", "dst")
+
+
+def _added(spark: SparkSession, d: str, config: OnlineConfig) -> DataFrame:
     e = cut(_embeddings(spark, d).withColumn("partition", F.lit(0)))
     base = cut(builders.Brute(similarity.COSINE, K).build(e.where("id % 100 <> 0")))
-    g = OnlineGraph(e.where("id % 100 <> 0"), base, similarity.COSINE, K, OnlineConfig(speedup=2, exhaustive=True))
-    return _rounded(g.add(e.where("id % 100 = 0")).edges, "src", "dst")
+    g = OnlineGraph(e.where("id % 100 <> 0"), base, similarity.COSINE, K, config)
+    return g.add(e.where("id % 100 = 0")).edges
+
+
+@R.query("online_add_exact", _rank_sql(f"SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM {_EMB} a JOIN {_EMB} b ON a.id <> b.id WHERE a.id % 100 = 0"))
+def online_add_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The lists that the added nodes get when they are compared with all."""
+    return _rounded(_added(spark, d, OnlineConfig(exhaustive=True)).where("src % 100 = 0"), "src", "dst")
+
+
+_REMOVE_SQL = (
+    "WITH u AS " + _USABLE + ", g AS (SELECT DISTINCT id FROM vector_nodes WHERE removed_at IS NOT NULL AND id IS NOT NULL), "
+    "b AS (SELECT src, dst, max(sim) AS sim FROM edges WHERE src <> dst AND sim IS NOT NULL AND NOT isnan(sim) GROUP BY 1, 2), e AS (SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM b) WHERE r <= 10), "
+    "hurt AS (SELECT src, dst FROM e WHERE dst IN (SELECT id FROM g) AND src NOT IN (SELECT id FROM g)), st AS (SELECT dst AS x, src AS id FROM hurt UNION SELECT id, id FROM g), "
+    "ar AS (SELECT x, id FROM st UNION SELECT x, dst FROM st JOIN e ON e.src = st.id), l AS (SELECT * FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)), "
+    "p AS (SELECT DISTINCT h.src, a.id AS dst FROM hurt h JOIN ar a ON a.x = h.dst WHERE a.id <> h.src AND a.id NOT IN (SELECT id FROM g)), "
+    "o AS (SELECT p.src, p.dst, round(1 / (1 + list_distance(a.v, b.v)), 9) AS sim FROM p ANTI JOIN l USING (src, dst) JOIN u a ON a.id = p.src JOIN u b ON b.id = p.dst) "
+    + _rank_sql("SELECT src, dst, sim AS s FROM (SELECT * FROM l UNION ALL SELECT * FROM o)")
+)
 
 
-@R.query("online_remove")
+@R.query("online_remove", _REMOVE_SQL)
 def online_remove(spark: SparkSession, d: str) -> DataFrame:
     """Removed vector nodes are taken out of the stored graph, and the lists they were in are repaired."""
     gone = table(spark, d, "vector_nodes").where("removed_at IS NOT NULL").select("id")
@@ -377,9 +441,29 @@ def kmedoids_assign(spark: SparkSession, d: str) -> DataFrame:
     return partition.KMedoids(similarity.L2, 32).assign(_usable(spark, d), table(spark, d, "medoids")).select("id", "partition")
 
 
+_CAPACITY_SQL = f"""
+WITH RECURSIVE u AS {_USABLE}, s AS (SELECT t.id, list(round(1 / (1 + list_distance(m.value, t.v)), 15) ORDER BY m.partition) AS s FROM u t, medoids m GROUP BY 1),
+n AS (SELECT id, s, row_number() OVER (ORDER BY id) AS i FROM s), k AS (SELECT ceil(1.25 * count(*) / 32) AS cap FROM n),
+g(i, id, pick, size) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, list_transform(range(32), lambda x: 0::BIGINT)
+  UNION ALL
+  SELECT i, id, pick, list_transform(size, lambda x, j: x + (j = pick)::BIGINT) FROM (
+    SELECT i, id, size, list_position(sc, list_max(sc)) AS pick FROM (
+      SELECT n.i, n.id, g.size, list_transform(n.s, lambda x, j: CASE WHEN g.size[j] < k.cap THEN x * (1 - g.size[j] / k.cap) + 1e-12 * (k.cap - g.size[j]) ELSE -1e308 END) AS sc FROM g JOIN n ON n.i = g.i + 1, k)))
+SELECT id, (SELECT list(partition ORDER BY partition) FROM medoids)[pick] AS partition FROM g WHERE i > 0
+"""
+
+
+@R.query("kmedoids_capacity", _CAPACITY_SQL)
+def kmedoids_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable vector to one of the given medoids, none of which takes more than 1.25 times the mean."""
+    return partition.KMedoids(similarity.L2, 32, imbalance=1.25).assign(_usable(spark, d), table(spark, d, "medoids")).select("id", "partition")
+
+
 @R.query("kmedoids")
 def kmedoids(spark: SparkSession, d: str) -> DataFrame:
-    return partition.KMedoids(similarity.L2, 8, imbalance=1.2, trials=16).partition(_usable(spark, d), _edges(spark, d)).nodes.select("id", "partition")
+    """Eight partitions around medoids found in a thousand trials, none larger than 1.2 times the mean."""
+    return partition.KMedoids(similarity.L2, 8, imbalance=1.2).partition(_usable(spark, d), _edges(spark, d)).nodes.select("id", "partition")
 
 
 @R.query(
@@ -397,9 +481,26 @@ def jabeja_scores(spark: SparkSession, d: str) -> DataFrame:
     return c.select("p", "q", old.alias("old_score"), new.alias("new_score"))
 
 
+_ROUND_SQL = (
+    "WITH sc AS (" + R.sql["jabeja_scores"] + "), k AS (SELECT id, min(partition) AS color FROM vector_nodes WHERE id IS NOT NULL GROUP BY 1), "
+    "r AS (SELECT p, q, new_score - old_score AS gain FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY new_score DESC, q) AS n FROM sc WHERE new_score > 0 AND new_score > old_score) WHERE n = 1), "
+    "o AS (SELECT a, b, p, q, gain FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY gain DESC, p DESC) AS n FROM (SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM r)) WHERE n = 1), "
+    "t AS (SELECT a AS n, a, b, gain FROM o UNION ALL SELECT b, a, b, gain FROM o), z AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, a, b) AS i FROM t) WHERE i = 1 GROUP BY 1, 2 HAVING count(*) = 2) "
+    "SELECT p AS src, q AS dst, x.color AS src_color, y.color AS dst_color FROM o JOIN z USING (a, b) JOIN k x ON x.id = p JOIN k y ON y.id = q"
+)
+
+
+@R.query("jabeja_round", _ROUND_SQL)
+def jabeja_round(spark: SparkSession, d: str) -> DataFrame:
+    """The swaps agreed in one round among neighbours, from the stored partitions and at temperature 1."""
+    c = partition.swap_candidates(_edges(spark, d), graph.colors(table(spark, d, "vector_nodes")), 0, 1)
+    return partition.match_swaps(cut(partition.swap_requests(c, 1.0))).select("src", "dst", "src_color", "dst_color")
+
+
 @R.query("jabeja")
 def jabeja(spark: SparkSession, d: str) -> DataFrame:
-    return partition.JaBeJa(8, partition.IterationBudget(3)).partition(_ids(spark, d).withColumn("value", F.lit(None).cast("int")), _edges(spark, d)).nodes.select("id", "partition")
+    """Eight partitions of equal size after twelve rounds of swaps that lower the cut (temperature 1)."""
+    return partition.JaBeJa(8, partition.IterationBudget(12), temperature=1.0).partition(_ids(spark, d).withColumn("value", F.lit(None).cast("int")), _edges(spark, d)).nodes.select("id", "partition")
 
 
 @R.query("gaussian_mixture")

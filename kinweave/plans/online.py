@@ -14,7 +14,7 @@ from kinweave.operators.topk import top_k
 from kinweave.plans.builders import block_top_k, score_pairs
 from kinweave.plans.partition import nearest_of
 from kinweave.plans.search import SearchConfig, approximate_search
-from kinweave.session import cut
+from kinweave.session import cut, drop_cut
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class OnlineGraph:
     k: int = 10
     config: OnlineConfig = field(default_factory=OnlineConfig)
     medoids: DataFrame | None = None
+    _own: list[DataFrame] = field(default_factory=list)
     similarities: dict[str, int] = field(default_factory=lambda: {"add": 0, "remove": 0, "search": 0})
 
     def add(self, batch: DataFrame) -> OnlineGraph:
@@ -63,10 +64,21 @@ class OnlineGraph:
         offers = cut(score_pairs(reached.select(F.col("id").alias("src"), F.col("new").alias("dst")).where("src <> dst").distinct(), self.nodes.select("id", "value").unionByName(new), self.similarity))
         self.similarities["add"] += offers.count()
         everything = self.edges.select("src", "dst", "sim").unionByName(offers).unionByName(own.select("src", "dst", "sim"))
-        self.edges = cut(top_k(everything, k))
-        self.nodes = cut(self.nodes.select("id", "value", "partition").unionByName(self.assign(new)))
+        self._replace(self.nodes.select("id", "value", "partition").unionByName(self.assign(new)), top_k(everything, k), offers, own, reached, new)
         return self
 
+    def _replace(self, nodes: DataFrame, edges: DataFrame, *scratch: DataFrame) -> None:
+        """Writes the new frames and deletes the tables that only the old ones needed."""
+        old = self._own
+        self.nodes, self.edges = cut(nodes), cut(edges)
+        self._own = [self.nodes, self.edges]
+        drop_cut(*scratch, *old)
+
+    def clean(self) -> None:
+        """Deletes the tables written for this graph; its frames can no longer be read."""
+        drop_cut(*self._own)
+        self._own = []
+
     def assign(self, new: DataFrame) -> DataFrame:
         """new(id, value) with its partition: that of the medoid of the highest similarity, lowered by how full the partition is; ties at random.
 
@@ -93,8 +105,7 @@ class OnlineGraph:
         nodes = self.nodes.select("id", "value", "partition").join(gone, "id", "left_anti")
         offers = cut(score_pairs(pairs.join(left.select("src", "dst"), ["src", "dst"], "left_anti"), nodes, self.similarity))
         self.similarities["remove"] += offers.count()
-        self.edges = cut(top_k(left.unionByName(offers), self.k))
-        self.nodes = cut(nodes)
+        self._replace(nodes, top_k(left.unionByName(offers), self.k), offers, hurt, gone)
         return self
 
     def size(self) -> int:

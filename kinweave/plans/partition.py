@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from kinweave.functions.encoders import mixing_partition, random_partition
 from kinweave.functions.similarity import DECIMALS, Similarity
 from kinweave.operators.graph import symmetrise
+from kinweave.operators.skew import salted_join
 from kinweave.operators.topk import sample_ids
 from kinweave.session import cut, drop_cut
 
@@ -109,8 +110,8 @@ class KMedoids(Partitioner):
     similarity: Similarity
     partitions: int
     imbalance: float = float("inf")
-    trials: int = 32
-    candidates: int = 8
+    trials: int = 1000
+    candidates: int = 32
     group_rows: int = 4096
     budget: Budget = field(default_factory=Budget)
     seed: int = 13
@@ -184,27 +185,27 @@ class KMedoids(Partitioner):
         return self.assign(nodes.select("id", "value"), m), m
 
 
-def swap_candidates(edges: DataFrame, color: DataFrame, sample: int, seed: int) -> DataFrame:
-    """(p, q, dpp, dqq, dpq, dqp): pairs of nodes of different colors, neighbours or drawn by hash, with their neighbours per color."""
-    sym = symmetrise(edges)
+def swap_candidates(edges: DataFrame, color: DataFrame, sample: int, seed: int, symmetric: bool = False) -> DataFrame:
+    """(p, q, cp, cq, dpp, dqq, dpq, dqp): pairs of nodes of different colors, neighbours or drawn by hash, with their neighbours per color.
+
+    ``symmetric``: edges are distinct and hold both directions already. Every node carries its degrees as one map from color to count,
+    of at most as many entries as there are partitions, so that each end of a pair is looked up once.
+    """
+    sym = edges.select("src", "dst") if symmetric else symmetrise(edges)
     c = color.select("id", "color")
-    deg = sym.join(c.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id"), "color").agg(F.count("*").alias("d"))
-    drawn = c.select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
-    w = Window.partitionBy("b").orderBy("h", "id")
-    rows = drawn.withColumn("b", F.pmod("h", F.lit(4096)))
+    per = salted_join(sym, c.select(F.col("id").alias("dst"), "color"), "dst", spread_by=["src"]).groupBy(F.col("src").alias("id"), "color").agg(F.count("*").alias("d"))
+    deg = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("color", "d"))).alias("deg"))
+    node = cut(c.join(deg, "id", "left"))
     pairs = sym.select(F.col("src").alias("p"), F.col("dst").alias("q"))
     if sample > 0:
-        near = rows.select(F.col("id").alias("p"), *[F.lead("id", j).over(w).alias(f"q{j}") for j in range(1, sample + 1)])
-        pairs = pairs.unionByName(near.select("p", F.explode(F.array(*[f"q{j}" for j in range(1, sample + 1)])).alias("q")).where("q IS NOT NULL"))
-    pairs = pairs.where("p <> q").distinct()
-    j = pairs.join(c.select(F.col("id").alias("p"), F.col("color").alias("cp")), "p").join(c.select(F.col("id").alias("q"), F.col("color").alias("cq")), "q").where("cp <> cq")
-
-    def degree(frame: DataFrame, node: str, col: str, name: str) -> DataFrame:
-        return frame.join(deg.select(F.col("id").alias(node), F.col("color").alias(col), F.col("d").alias(name)), [node, col], "left").fillna(0, [name])
-
-    for node, col, name in (("p", "cp", "dpp"), ("q", "cq", "dqq"), ("p", "cq", "dpq"), ("q", "cp", "dqp")):
-        j = degree(j, node, col, name)
-    return j.select("p", "q", "cp", "cq", "dpp", "dqq", "dpq", "dqp")
+        rows = c.select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
+        w = Window.partitionBy("b").orderBy("h", "id")
+        near = rows.withColumn("b", F.pmod("h", F.lit(4096))).select(F.col("id").alias("p"), *[F.lead("id", j).over(w).alias(f"q{j}") for j in range(1, sample + 1)])
+        pairs = pairs.unionByName(near.select("p", F.explode(F.array(*[f"q{j}" for j in range(1, sample + 1)])).alias("q")).where("q IS NOT NULL")).distinct()
+    end = lambda x: node.select(F.col("id").alias(x), F.col("color").alias(f"c{x}"), F.col("deg").alias(f"m{x}"))
+    j = salted_join(salted_join(pairs.where("p <> q"), end("p"), "p", spread_by=["q"]), end("q"), "q", spread_by=["p"]).where("cp <> cq")
+    d = lambda of, c: F.coalesce(F.try_element_at(f"m{of}", F.col(c)), F.lit(0))
+    return j.select("p", "q", "cp", "cq", d("p", "cp").alias("dpp"), d("q", "cq").alias("dqq"), d("p", "cq").alias("dpq"), d("q", "cp").alias("dqp"))
 
 
 def swap_requests(candidates: DataFrame, temperature: float) -> DataFrame:
@@ -229,33 +230,44 @@ def match_swaps(requests: DataFrame) -> DataFrame:
 class JaBeJa(Partitioner):
     """Random start, then rounds of agreed color swaps under annealing (Rahimian et al., 2013): sizes never change, cut edges fall.
 
-    Rounds end when no swap is agreed while the temperature is 1, when ``budget`` is spent, or after ``max_rounds``.
+    A node asks its neighbours and ``sample`` drawn nodes. Rounds end when no swap is agreed while the temperature is 1, when ``budget`` is
+    spent (by default there is none), or, as swaps of one round do not see each other and may go to and fro, when ``patience`` rounds
+    at temperature 1 agreed on no fewer swaps than one before them. ``rounds`` tells how many were made.
     """
 
     partitions: int
-    budget: Budget = field(default_factory=lambda: IterationBudget(10))
+    budget: Budget = field(default_factory=Budget)
     temperature: float = 2.0
     delta: float = 0.003
-    sample: int = 3
-    max_rounds: int = 1000
+    sample: int = 10
+    patience: int = 20
     seed: int = 21
+    rounds: int = 0
 
     def _assign(self, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, None]:
         color = cut(nodes.select("id").distinct().select("id", random_partition(F.col("id"), self.partitions, self.seed).alias("color")))
-        links = cut(edges.select("src", "dst").distinct())
+        links = cut(symmetrise(edges))  # edges never change
         t = self.temperature
-        for rounds in range(self.max_rounds):
-            if self.budget.exhausted(rounds):
+        self.rounds, fewest, since = 0, None, 0
+        while not self.budget.exhausted(self.rounds):
+            requests = cut(swap_requests(swap_candidates(links, color, self.sample, self.seed + self.rounds, symmetric=True), t))
+            swaps = cut(match_swaps(requests))
+            drop_cut(requests)
+            self.rounds += 1
+            agreed = swaps.count()
+            if t <= 1:
+                since = 0 if fewest is None or agreed < fewest else since + 1
+                fewest = agreed if fewest is None else min(fewest, agreed)
+            if t <= 1 and not agreed:
+                drop_cut(swaps)
                 break
-            swaps = cut(match_swaps(swap_requests(swap_candidates(links, color, self.sample, self.seed + rounds), t)))
-            if not swaps.limit(1).count():
-                if t <= 1:
-                    break
-            else:
+            if agreed:
                 new = swaps.select(F.col("src").alias("id"), F.col("dst_color").alias("to")).unionByName(swaps.select(F.col("dst").alias("id"), F.col("src_color").alias("to")))
                 after = cut(color.join(new, "id", "left").select("id", F.coalesce("to", "color").alias("color")))
                 drop_cut(color)
                 color = after
             drop_cut(swaps)
+            if since >= self.patience:
+                break
             t = max(1.0, t - self.delta)
         return nodes.drop("partition").join(color, "id").withColumnRenamed("color", "partition"), None

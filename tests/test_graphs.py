@@ -241,7 +241,9 @@ def test_partitioners(mixture, exact):
     assert graph.balance(m.nodes, 8).first()[0] <= 1.2 + 0.01 and m.nodes.count() == n and m.medoids.count() == 8
     assert graph.cross_edges(exact, graph.colors(m.nodes)).first()["n_cross"] < 0.8 * n * k * 7 / 8
     start = partition.JaBeJa(4, partition.IterationBudget(0)).partition(mixture, exact)
-    end = partition.JaBeJa(4, partition.IterationBudget(3), temperature=1.0).partition(mixture, exact)
+    j = partition.JaBeJa(4, partition.IterationBudget(4), temperature=1.0, sample=3)
+    end = j.partition(mixture, exact)
+    assert j.rounds == 4
     sizes = lambda x: sorted(map(tuple, graph.partition_sizes(x.nodes).collect()))
     assert sizes(start) == sizes(end)
     cut_edges = [graph.cross_edges(exact, graph.colors(x.nodes)).first()["n_cross"] for x in (start, end)]
@@ -249,6 +251,49 @@ def test_partitioners(mixture, exact):
     assert partition.TimeBudget(0).exhausted(0) and not partition.Budget().exhausted(10**6)
 
 
+def test_swaps_end_by_themselves(spark):
+    # two cliques, no budget: rounds end when no swap is agreed, or no fewer than before
+    rows = [(a, b) for base in (0, 10) for a in range(base, base + 6) for b in range(base, base + 6) if a != b]
+    nodes = spark.createDataFrame([(i,) for base in (0, 10) for i in range(base, base + 6)], "id bigint")
+    j = partition.JaBeJa(2, temperature=1.0, sample=2, patience=2)
+    out = j.partition(nodes, spark.createDataFrame(rows, "src bigint, dst bigint")).nodes
+    assert out.count() == 12 and j.rounds >= 1
+
+
+def test_online_add_by_walks(spark):
+    """2,000 nodes, 200 more found by walks from four medoids' partitions; ten neighbours each."""
+    m = graph_io.gaussian_mixture(spark, 2200, 4, 5)
+    m = cut(m.withColumn("partition", encoders.mixing_partition(F.col("id"), 4)))
+    base, new = m.where("id < 2000"), m.where("id >= 2000").select("id", "value")
+    medoids = base.where("id < 4").select(F.col("id").cast("int").alias("partition"), "id", "value")
+    g = OnlineGraph(base, cut(builders.Brute(similarity.L2, 10).build(base)), similarity.L2, 10, OnlineConfig(speedup=4), medoids)
+    g.add(new)
+    want = builders.Brute(similarity.L2, 10).build(m)
+    assert g.size() == 2200 and recall(g.edges, want) > 0.95 and recall(g.edges.where("src >= 2000"), want.where("src >= 2000")) > 0.9
+    g.clean()
+
+
+def test_prepared_graph_search(mixture, exact):
+    s = search.GraphSearch(mixture, graph.symmetrise(exact), similarity.L2, partition.Edge1D(4))
+    q = mixture.where("id % 60 = 0").select(F.col("id").alias("query_id"), "value")
+    found, _ = s.search(q, search.SearchConfig(10, 4, restart_at_boundary=False))
+    want = {(r["query_id"], r["dst"]) for r in s.exhaustive(q, 10).collect()}
+    assert len(want & {(r["query_id"], r["dst"]) for r in found.collect()}) >= 0.9 * len(want)
+    s.clean()
+    with pytest.raises(Exception):
+        s.nodes.count()
+
+
+def test_sparse_signatures_in_large_spaces():
+    a, b = encoders.hashed_planes(np.array([5, 10**9]), 40), encoders.hashed_planes(np.array([10**9]), 40)
+    assert np.allclose(a[:, 1], b[:, 0]) and abs(encoders.hashed_planes(np.arange(20000), 4).mean()) < 0.02 and abs(encoders.hashed_planes(np.arange(20000), 4).std() - 1) < 0.02
+
+
+def test_tiles_of_a_symmetric_similarity(spark, mixture, exact):
+    small = builders.Brute(similarity.L2, 10, tile=150).build(mixture)
+    assert recall(small, exact) == 1.0 and small.count() == exact.count()
+
+
 def test_online_assignment_prefers_room(spark, mixture, exact):
     nodes = mixture.withColumn("partition", F.when(F.col("id") < 1000, 0).otherwise(1))
     medoids = spark.createDataFrame([(0, 1, [0.0] * 6), (1, 2, [0.0] * 6)], "partition int, id bigint, value array<double>")
