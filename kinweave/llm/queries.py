@@ -79,7 +79,7 @@ P6 = bisect.Bisecting(dim=24, min_sim=0.25)
 _USABLE = "WITH u AS (SELECT DISTINCT id, value AS v FROM vector_nodes WHERE id IS NOT NULL AND len(value) = 24 AND len(list_filter(value, lambda x: x IS NOT NULL AND isfinite(x))) = 24), "
 _NEAREST_SQL = (
     _USABLE + "s AS (SELECT a.id AS src, b.id AS dst, 1 / (1 + list_distance(a.v, b.v)) AS sim FROM u a JOIN u b ON a.id <> b.id) "
-    "SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS place FROM s WHERE sim >= 0.25) WHERE place <= 10"
+    "SELECT src, dst, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS place FROM s WHERE sim >= 0.25) WHERE place <= 10"
 )
 _CLUSTER_SQL = (
     _USABLE + "e AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON 1 / (1 + list_distance(a.v, b.v)) >= 0.25), "
@@ -88,16 +88,16 @@ _CLUSTER_SQL = (
 )
 
 
-@R.query("p5_found", _NEAREST_SQL)
+@R.query("p5_found", f"SELECT src, dst FROM ({_NEAREST_SQL})")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The up to ten most similar other vectors of every usable vector."""
     return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5).select("src", "dst")
 
 
-@R.query("p5_neighbours")
+@R.query("p5_neighbours", _NEAREST_SQL)
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """As p5_found, with similarity and place."""
-    return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5)
+    return knn.nearest_vectors(table(spark, d, "vector_nodes"), P5).select("src", "dst", F.round("sim", 6).alias("sim"), "place")
 
 
 @R.query("p6_found", _CLUSTER_SQL)
