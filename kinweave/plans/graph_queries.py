@@ -310,6 +310,31 @@ def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@R.query(
+    "maintenance_costs",
+    """WITH c AS (SELECT partition, CAST(count(DISTINCT id) AS DOUBLE) AS n, CAST(count(DISTINCT CASE WHEN removed_at IS NOT NULL THEN id END) AS DOUBLE) AS r FROM vector_nodes GROUP BY 1)
+    SELECT partition, round(10 * (n * (n + 1) / 2 - (n - r) * (n - r + 1) / 2), 6) AS naive_remove, round(CASE WHEN n > 0 THEN n * (n - 1) / 2 / (n * 10) END, 6) AS speed_up FROM c""",
+)
+def maintenance_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons that naive removal of a partition's removed ids takes, and how a full rebuild compares with ten per node."""
+    per = table(spark, d, "vector_nodes").where("id IS NOT NULL").groupBy("partition", "id").agg(F.max(F.col("removed_at").isNotNull().cast("int")).alias("gone"))
+    c = per.groupBy("partition").agg(F.count("id").cast("double").alias("n"), F.sum("gone").cast("double").alias("r"))
+    n, r = F.col("n"), F.col("r")
+    return c.select("partition", F.round(quality.naive_remove_cost(n, n - r, F.lit(10)), 6).alias("naive_remove"), F.round(quality.speed_up(quality.naive_add_cost(n), n * 10), 6).alias("speed_up"))
+
+
+@R.query("best_candidate", "SELECT src, dst, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM candidates WHERE src IS NOT NULL AND sim IS NOT NULL AND NOT isnan(sim)) WHERE r = 1")
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Per src the dst of its highest similarity, the least of equal ones."""
+    return topk.arg_max(table(spark, d, "candidates").where("src IS NOT NULL"), "src", "dst", "sim").select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
+@R.query("wrapped_values", "SELECT item_id AS id, item_name AS value, 0 AS partition FROM items")
+def wrapped_values(spark: SparkSession, d: str) -> DataFrame:
+    """Plain values as nodes of partition 0."""
+    return graph.wrap_nodes(table(spark, d, "items"), "item_name", "item_id")
+
+
 # --- search --------------------------------------------------------------------------------------------------------
 
 
@@ -454,6 +479,21 @@ SELECT id, (SELECT list(partition ORDER BY partition) FROM medoids)[pick] AS par
 """
 
 
+@R.query(
+    "discounted_similarity",
+    f"""WITH u AS (SELECT DISTINCT t.id, t.value AS v, t.partition FROM vector_nodes t JOIN {_USABLE} x ON x.id = t.id), s AS (SELECT partition, count(DISTINCT id) AS n FROM u GROUP BY 1), k AS (SELECT 1.1 * count(DISTINCT id) / 32 AS cap FROM u)
+    SELECT u.id, u.partition, round(round(1 / (1 + list_distance(m.value, u.v)), 9) * (1 - s.n / k.cap), 6) AS score FROM u JOIN medoids m ON m.partition = u.partition JOIN s ON s.partition = u.partition, k WHERE len(u.v) = 24""",
+)
+def discounted_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The similarity of every usable vector to the medoid of its stored partition, lowered by how full that partition is."""
+    u = cut(_usable(spark, d))
+    sizes = u.groupBy("partition").agg(F.count("*").alias("n"))
+    total = u.agg((F.count("*") * 1.1 / 32).alias("cap"))
+    m = table(spark, d, "medoids").select("partition", F.col("value").alias("m"))  # a row per partition
+    j = u.join(F.broadcast(m), "partition").join(F.broadcast(sizes), "partition").join(F.broadcast(total))
+    return j.select("id", "partition", F.round(encoders.discounted(similarity.L2.column(F.col("m"), F.col("value")), F.col("n"), F.col("cap")), 6).alias("score"))
+
+
 @R.query("kmedoids_capacity", _CAPACITY_SQL)
 def kmedoids_capacity(spark: SparkSession, d: str) -> DataFrame:
     """Every usable vector to one of the given medoids, none of which takes more than 1.25 times the mean."""

@@ -312,10 +312,12 @@ def test_sources_and_stream(spark, mixture, exact, tmp_path):
     s = tmp_path / "in"
     mixture.where("id BETWEEN 300 AND 309").select("id", "value", F.lit("add").alias("op")).unionByName(small.where("id < 5").select("id", "value", F.lit("remove").alias("op"))).coalesce(1).write.parquet(str(s))
     stream = spark.readStream.schema("id bigint, value array<double>, op string").parquet(str(s))
-    q = Maintainer(path, similarity.L2, 5, OnlineConfig(exhaustive=True)).attach(stream, f"{tmp_path}/check").start()
+    medoids = spark.createDataFrame([(3, 1, [0.0] * 6)], "partition int, id bigint, value array<double>")
+    q = Maintainer(path, similarity.L2, 5, OnlineConfig(exhaustive=True), medoids).attach(stream, f"{tmp_path}/check").start()
     q.processAllAvailable()
     q.stop()
     n, e = graph_io.read_graph(spark, f"{path}/v=1")
+    assert n.where("id >= 300 AND partition = 3").count() == 10
     assert n.count() == 305 and e.where("src < 5 OR dst < 5").count() == 0 and e.where("src = 300").count() == 5
     graph_io.append_metrics(n.limit(2).select("id"), f"{tmp_path}/m")
     graph_io.append_metrics(n.limit(2).select("id"), f"{tmp_path}/m")
