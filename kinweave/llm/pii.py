@@ -7,18 +7,20 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.boost import Boosted
 from kinweave.llm.pii_sample import MAKERS, labelled_texts
+from kinweave.operators.skew import salted_join
 from kinweave.session import BROADCAST_BYTES, cut, drop_cut
 
 KINDS = ("name", "email", "phone", "address", "id_number")
@@ -94,15 +96,20 @@ _ID = [
 class Words:
     """How the words of a collection are written: ``counts`` maps lower-cased words to the number of their places inside a sentence, and of those where
     they stand in lower case. Two places more are added to each: in lower case for words that a public vocabulary has in lower case.
-    ``fixed`` maps pairs of capitalised words that recur to the share of the first word's pairs that this one makes up."""
+    ``fixed`` maps pairs of capitalised words that recur to the share of the first word's pairs that this one makes up.
+
+    Of more words than a broadcast may hold, ``counts`` has the known ones that are not ordinary, and ``tables`` the others that are (k) and the fixed
+    pairs (x, s); each batch of documents gets those that its texts ask for, as ``lower`` and ``fixed``, so the answers are the same."""
 
     counts: dict[str, tuple[int, int]]
     known: frozenset[str] = frozenset()
     fixed: dict[str, float] = field(default_factory=dict)
+    lower: frozenset[str] = frozenset()
+    tables: tuple[DataFrame, DataFrame] | None = None
 
     def ordinary(self, word: str) -> bool:
         n, low = self.counts.get(word, (0, 0))
-        return low + 2 * (word in self.known) >= ORDINARY * (n + 2)
+        return word in self.lower or low + 2 * (word in self.known) >= ORDINARY * (n + 2)
 
     @classmethod
     def of(cls, texts: list[str], known: frozenset[str], least: int = 2) -> Words:
@@ -123,30 +130,39 @@ RECURS = 5
 _CAPITAL_PAIR = r"\p{Lu}\p{L}+ \p{Lu}\p{L}+"
 #: From this share in lower case on a word is an ordinary one.
 ORDINARY = 0.6
-#: At most this many words of a collection go into ``Words``.
-MOST_WORDS = 200_000
+#: Bytes held for a word or pair of a collection, for the size of a broadcast.
+_WORD_BYTES = 64
 #: A word after another word or a comma, not the first of a sentence.
 _INNER_WORD = r"(?<=[\p{L}\p{N},] )\p{L}{3,}"
 
 
-def words_of(docs: DataFrame, known: frozenset[str], least: int = 2) -> Words:
-    """``Words`` of all texts of docs(text), counted across the cluster.
+def words_of(docs: DataFrame, known: frozenset[str], least: int = 2, limit: int = BROADCAST_BYTES) -> Words:
+    """``Words`` of all texts of docs(text), counted across the cluster: all that occur ``least`` times, however many.
 
-    Of n words in all, those that occur at least n / MOST_WORDS times (and ``least`` times) are kept: there can be no more than MOST_WORDS of them.
+    If words and pairs need more than ``limit`` bytes they stay tables, which ``find`` and ``redact`` join to the documents. Only words that are not
+    what their absence would mean go along: known words that are not ordinary (no more than there are known words) and unknown ones that are.
     """
+    spark = docs.sparkSession
     w = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_INNER_WORD), F.lit(0))).alias("w"))
     per = w.groupBy("w").agg(F.count("*").alias("n")).groupBy(F.lower("w").alias("k")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(F.lit(0))).alias("low"))
     per = cut(per)
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = per.where(F.col("n") >= max(least, -(-total // MOST_WORDS))).toPandas()
+    kept = per.where(F.col("n") >= least)
     x = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_CAPITAL_PAIR), F.lit(0))).alias("x")).groupBy(F.lower("x").alias("x")).agg(F.count("*").alias("n"))
     pairs = cut(x.withColumn("a", F.substring_index("x", " ", 1)))
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = pairs.where(F.col("n") >= max(RECURS, -(-total // MOST_WORDS)))
+    often = pairs.where(F.col("n") >= RECURS)
     first = pairs.join(often.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.sum("n").alias("of"))
-    fixed = often.join(first, "a").select("x", (F.col("n") / F.col("of")).alias("s")).toPandas()
+    fixed = often.join(first, "a").select("x", (F.col("n") / F.col("of")).alias("s"))
+    most = limit // _WORD_BYTES
+    if kept.select("k").union(often.select("x")).limit(most + 1).count() <= most:
+        every, fixed = kept.toPandas(), fixed.toPandas()
+        drop_cut(per, pairs)
+        return Words(dict(zip(every["k"], zip(every["n"].tolist(), every["low"].tolist()))), known, dict(zip(fixed["x"], fixed["s"])))
+    enough = F.lit(ORDINARY) * (F.col("n") + 2)
+    listed = spark.createDataFrame([(k,) for k in sorted(known)], "k string")
+    odd = kept.where(F.col("low") + 2 < enough).join(F.broadcast(listed), "k", "left_semi").toPandas()
+    tables = cut(kept.where(F.col("low") >= enough).select("k")), cut(fixed)
     drop_cut(per, pairs)
-    return Words(dict(zip(kept["k"], zip(kept["n"].tolist(), kept["low"].tolist()))), known, dict(zip(fixed["x"], fixed["s"])))
+    return Words(dict(zip(odd["k"], zip(odd["n"].tolist(), odd["low"].tolist()))), known, tables=tables)
 
 
 _WORDS = re.compile(rf"(?<![\w&]){_LX}+(?:[’'\-]{_LX}+)*")
@@ -191,8 +207,8 @@ def _names(text: str, words_of: Words) -> Iterator[tuple[int, int, int]]:
                 yield start, end, 62
 
 
-def candidates(text: str, words_of: Words) -> list[tuple[int, int, str, int]]:
-    """Overlapping (start, end, kind, generator) proposals; deliberately too many."""
+def written_forms(text: str) -> list[tuple[int, int, str, int]]:
+    """The candidates of all kinds but names, for which no words are looked up."""
     out: dict[tuple[int, int, str], int] = {}
 
     def add(a: int, b: int, kind: str, gen: int) -> None:
@@ -219,11 +235,14 @@ def candidates(text: str, words_of: Words) -> list[tuple[int, int, str, int]]:
         for g, p in enumerate(_ID):
             for m in p.finditer(text):
                 add(*m.span(), "id_number", 40 + g)
-    for a, b, g in _names(text, words_of):
-        add(a, b, "name", g)
     return [(a, b, k, g) for (a, b, k), g in out.items()]
 
 
+def candidates(text: str, words_of: Words, forms: list[tuple[int, int, str, int]] | None = None) -> list[tuple[int, int, str, int]]:
+    """Overlapping (start, end, kind, generator) proposals; deliberately too many. ``forms``: the text's ``written_forms``, if they are there already."""
+    return [*(written_forms(text) if forms is None else forms), *((a, b, "name", g) for a, b, g in _names(text, words_of))]
+
+
 _DIGITS = re.compile(r"\d")
 _TOKEN = re.compile(rf"{_LX}+|\d+|[^\s\w]")
 
@@ -320,12 +339,12 @@ class Detector:
         """Chosen spans (start, end, kind) of the original text, not overlapping, in order."""
         return self.spans_of([text])[0]
 
-    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """``spans`` of many texts; the trees score all their candidates of a kind at once."""
+    def spans_of(self, texts: list[str], forms: list[list[tuple[int, int, str, int]]] | None = None) -> list[list[tuple[int, int, str]]]:
+        """``spans`` of many texts; the trees score all their candidates of a kind at once. ``forms``: each text's, as ``asked`` gives them."""
         plain = [_UNSEEN.sub("", t) for t in texts]
         own: dict[str, list[tuple[int, tuple[int, int, str, int]]]] = {k: [] for k in KINDS}
         for i, t in enumerate(plain):
-            for c in candidates(t, self.words):
+            for c in candidates(t, self.words, forms[i] if forms else None):
                 own[c[2]].append((i, c))
         scored: list[list[tuple[float, tuple[int, int, str, int]]]] = [[] for _ in texts]
         for kind, rows in own.items():
@@ -337,6 +356,15 @@ class Detector:
                         scored[i].append((float((s - m.threshold) / (1 - m.threshold)), c))
         return [self._choose(t, len(t) != len(q), s) for t, q, s in zip(texts, plain, scored)]
 
+    def asked(self, text: str) -> tuple[list[tuple[int, int, str, int]], list[str], list[str]]:
+        """Written forms of a text, and all unknown words and pairs of words on which its ``spans_of`` may depend. Words that turn out to be
+        ordinary can only make candidates fewer, so the words of those that there are without them are all."""
+        t = _UNSEEN.sub("", text)
+        forms = written_forms(t)
+        spans = {t[c[0] : c[1]] for c in candidates(t, self.words, forms)}
+        words = {w for x in spans for w in (*Cues.inside(x), *(y.lower() for y in _WORDS.findall(x)))}
+        return forms, sorted(w for w in words if len(w) > 2 and w not in self.words.known), sorted({x.lower() for x in spans if x.count(" ") == 1})
+
     @staticmethod
     def _choose(text: str, unseen: bool, scored: list) -> list[tuple[int, int, str]]:
         scored.sort(key=lambda x: (-round(x[0], 3), x[1][0] - x[1][1], x[1]))
@@ -404,22 +432,58 @@ def detector(docs: DataFrame | None = None, sample: int = 12000, seed: int = 3,
     return d if docs is None else replace(d, words=words_of(docs, d.words.known))
 
 
+def _prepared(docs: DataFrame, d: Detector) -> tuple[DataFrame, Callable[[pd.DataFrame], list[list[tuple[int, int, str]]]]]:
+    """docs (doc_id, text) with what the detector's tables of words hold for each text, and a function from batches of these rows to their spans."""
+    docs, tables = docs.select("doc_id", "text"), d.words.tables
+    shared = docs.sparkSession.sparkContext.broadcast(replace(d, words=replace(d.words, tables=None)))
+    if tables is None:
+        return docs, lambda b: shared.value.spans_of([t or "" for t in b["text"]])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [shared.value.asked(t or "") for t in b.column("text").to_pylist()]
+            forms = [[v for x, y, k, g in f for v in (x, y, KINDS.index(k), g)] for f, _, _ in rows]
+            words, pairs = [w for _, w, _ in rows], [p for _, _, p in rows]
+            more = pa.array(forms, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *more], ["doc_id", "text", "forms", "words", "pairs"])
+
+    asked = docs.mapInArrow(ask, "doc_id bigint, text string, forms array<int>, words array<string>, pairs array<string>")
+    asked = cut(asked.withColumn("h", F.xxhash64("text")))
+
+    def met(column: str, table: DataFrame, key: str) -> DataFrame:
+        each = asked.select("h", F.explode(column).alias(key))
+        return salted_join(each, table, key)
+
+    # what is looked up holds for all documents: texts that share a hash may share their rows
+    both = met("words", tables[0], "k").unionByName(met("pairs", tables[1], "x"), allowMissingColumns=True)
+    per = both.groupBy("h").agg(F.collect_set("k").alias("lower"), F.collect_set(F.when(F.col("x").isNotNull(), F.struct("x", "s"))).alias("p"))
+    per = per.select("h", "lower", F.col("p.x").alias("pair"), F.col("p.s").alias("share"))
+
+    def spans(b: pd.DataFrame) -> list[list[tuple[int, int, str]]]:
+        lower = frozenset(w for row in b["lower"] if row is not None for w in row)
+        fixed = {x: float(s) for xs, ss in zip(b["pair"], b["share"]) if xs is not None for x, s in zip(xs, ss)}
+        forms = [[(x, y, KINDS[k], g) for x, y, k, g in np.reshape(f, (-1, 4)).astype(int).tolist()] for f in b["forms"]]
+        own = replace(shared.value, words=replace(shared.value.words, lower=lower, fixed=fixed))
+        return own.spans_of([t or "" for t in b["text"]], forms)
+
+    return salted_join(asked.drop("words", "pairs"), per, "h", "left", spread_by=["doc_id"]), spans
+
+
 def find(docs: DataFrame, d: Detector) -> DataFrame:
     """Distinct (doc_id, kind, span) of docs (doc_id, text). Null and empty texts have none; texts are read whole."""
-    shared = docs.sparkSession.sparkContext.broadcast(d)
+    docs, spans = _prepared(docs.where("text IS NOT NULL"), d)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = shared.value.spans_of(b["text"].tolist())
-            out = [(i, k, t[x:y]) for i, t, s in zip(b["doc_id"], b["text"], found) for x, y, k in s]
+            out = [(i, k, t[x:y]) for i, t, s in zip(b["doc_id"], b["text"], spans(b)) for x, y, k in s]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "span"])
 
-    return docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id bigint, kind string, span string").distinct()
+    return docs.mapInPandas(run, "doc_id bigint, kind string, span string").distinct()
 
 
 def redact(docs: DataFrame, d: Detector, placeholders: dict[str, str]) -> DataFrame:
     """(doc_id, text, n_found): the text with each span replaced by its placeholder and nothing else changed; a null text stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(d)
+    docs, spans = _prepared(docs, d)
 
     def one(t: str, spans: list[tuple[int, int, str]]) -> str:
         out, at = [], 0
@@ -430,11 +494,10 @@ def redact(docs: DataFrame, d: Detector, placeholders: dict[str, str]) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
-            found = shared.value.spans_of([t or "" for t in texts])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if t is None else one(t, s) for t, s in zip(texts, found)], "n_found": [len(s) for s in found]})
+            found = spans(b)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if t is None else one(t, s) for t, s in zip(b["text"], found)], "n_found": [len(s) for s in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, text string, n_found int")
+    return docs.mapInPandas(run, "doc_id bigint, text string, n_found int")
 
 
 def brand_words(items: DataFrame) -> frozenset[str]:

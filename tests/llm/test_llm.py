@@ -387,6 +387,34 @@ def test_p10_words_are_counted_alike_in_both_ways(spark):
     assert pii.words_of(df.limit(0), frozenset()).counts == {}
 
 
+@pytest.mark.parametrize("limit", [pii.BROADCAST_BYTES, 0])
+def test_p10_rare_words_count_in_a_large_collection(spark, limit):
+    """1.4 million pairs and 2.8 million words beside them leave what is known of a word met three times, and of a pair met six times, as it was."""
+    few = ["We saw a flumpet and flumpet, flumpet there. The Mat, a Mat, a Mat."] + ["Red Hill"] * 6
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(few)], "doc_id bigint, text string")
+    bulk = spark.range(700, numPartitions=4).select("id", F.lit("Tall Oak " * 2000).alias("text"))
+    known = frozenset({"mat", "oak"})
+    for x in (docs, docs.unionByName(bulk.withColumnRenamed("id", "doc_id"))):
+        w = pii.words_of(x, known, limit=limit)
+        lower, fixed = w.lower, w.fixed
+        if w.tables is not None:
+            lower, fixed = frozenset(r[0] for r in w.tables[0].collect()), dict(map(tuple, w.tables[1].collect()))
+        w = dataclasses.replace(w, lower=lower, fixed=fixed)
+        assert w.ordinary("flumpet") and not w.ordinary("mat") and w.fixed["red hill"] == 1
+
+
+def test_p10_many_words_are_joined_with_the_same_result(spark, detector):
+    texts = [t for t, _ in labelled_texts(300, 78)] + ["the flumpet gorbel, a flumpet gorbel, one flumpet gorbel rang. Red Hill"] * 6 + ["mail gorbel@flum​pet.test", "flumpet gorbel", "RED HILL red hill", "", None, None]
+    df = spark.createDataFrame([(None if i == 5 else i % 290, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    whole, joined = (dataclasses.replace(detector, words=pii.words_of(df, detector.words.known, limit=n)) for n in (pii.BROADCAST_BYTES, 0))
+    assert whole.words.tables is None and whole.words.fixed and joined.words.tables is not None and not joined.words.fixed
+    assert {w for w in whole.words.counts if w in detector.words.known and not whole.words.ordinary(w)} == set(joined.words.counts)
+    a, b = ([sorted(map(str, x.collect())) for x in (pii.find(df, d), pii.redact(df, d, {}))] for d in (whole, joined))
+    assert a == b and len(a[0]) > 100 and len(a[1]) == len(texts)
+    bare = dataclasses.replace(detector, words=pii.Words({}, detector.words.known))
+    assert sorted(map(str, pii.find(df, bare).collect())) != a[0]  # the words do matter here
+
+
 def test_p10_redaction_leaves_the_rest(spark, detector):
     texts = [
         "Thanks to Jorvi Tastrem it went well.\nContact number: +44 (0)7700 900 123. Order 4021-12345, part no. 12345678.",
