@@ -55,7 +55,7 @@ class OnlineGraph:
             found = block_top_k(new, self.nodes.select("id", "value"), k, self.similarity)
         else:
             q = new.select(F.col("id").alias("query_id"), "value")
-            found, m = approximate_search(self.nodes, self.edges, q, self.similarity, SearchConfig(k, c.speedup, c.expansion, c.random_jumps, False, c.max_rounds, c.seed))
+            found, m = approximate_search(self.nodes, self.edges, q, self.similarity, SearchConfig(k, c.speedup, c.expansion, c.random_jumps, False, c.max_rounds, c.seed, memory=c.memory))
             self.similarities["search"] += m.agg(F.sum("similarities")).first()[0] or 0
             found = found.withColumnRenamed("query_id", "src")
         among = block_top_k(new, new, k, self.similarity, same=True)

@@ -70,6 +70,13 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def mounted(df: DataFrame) -> str | None:
+    """The path of a table written by ``cut``, if the shared folder is one of the machines' file systems; None for an object store or the like."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kinweave_path)
+    uri = p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def drop_cut(*dfs: DataFrame | None) -> None:
     """Delete tables written by ``cut`` that no later plan reads."""
     for df in dfs:

@@ -206,6 +206,33 @@ def test_search_goes_on_until_the_budget_is_spent(mixture, exact):
         assert {r["similarities"] for r in metrics.collect()} == {300}
 
 
+@pytest.mark.parametrize("inside", [False, True])
+def test_walks_in_tasks_and_over_tables_agree(spark, mixture, exact, inside):
+    """Values that cannot be compared, edges that lead nowhere, ids without a node and texts included; equal values tie."""
+    from dataclasses import replace
+
+    rows = [(5000 + i, v, i % 3) for i, v in enumerate(([1.0] * 6, [1.0] * 6, [float("nan")] * 6, [None] * 6, [1.0] * 6))]
+    nodes = mixture.select("id", "value", F.when(F.col("id") % 5 > 0, encoders.mixing_partition(F.col("id"), 3)).alias("partition")).unionByName(spark.createDataFrame(rows, "id bigint, value array<double>, partition int"))
+    edges = graph.symmetrise(exact.select("src", "dst").unionByName(spark.createDataFrame([(i, 5000 + i % 7) for i in range(0, 1200, 9)], "src bigint, dst bigint")))
+    q = mixture.where("id % 100 = 0").select(F.col("id").alias("query_id"), "value").unionByName(spark.createDataFrame([(-1, None), (5002, [0.5] * 6), (-3, [1.0, 2.0])], "query_id bigint, value array<double>"))
+    words = nodes.select("id", F.concat_ws(" ", F.transform("value", lambda x: F.round(x).cast("string"))).alias("value"), "partition")
+    told = q.where("query_id > 0").select("query_id", F.concat_ws(" ", F.transform("value", lambda x: F.round(x).cast("string"))).alias("value"))
+    for n, asked, sim in ((nodes, q, similarity.L2), (words, told, similarity.jaro_winkler())):
+        c = search.SearchConfig(5, 6, restart_at_boundary=inside, keep_self=False)
+        held, tables = ([sorted(map(tuple, x.collect())) for x in search.approximate_search(n, edges, asked, sim, replace(c, memory=m))] for m in (c.memory, 0))
+        assert held == tables and len(held[1]) >= 12
+
+
+def test_walks_held_in_tasks_take_few_jobs(spark, mixture, exact):
+    """The number of jobs does not grow with the rounds."""
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("walks", "walks")
+    q = mixture.where("id % 100 = 0").select(F.col("id").alias("query_id"), "value")
+    search.naive_search(mixture, graph.symmetrise(exact), q, similarity.L2, 10, 2, keep_self=False)[0].collect()
+    sc.setJobGroup("other", "other")
+    assert len(tracker.getJobIdsForGroup("walks")) < 40
+
+
 def test_walks_restart_beyond_a_border(spark):
     # a chain of which every two nodes are a partition, in which only the first partition has a start
     nodes = spark.createDataFrame([(i, [float(i)], i // 2) for i in range(6)], "id bigint, value array<double>, partition int")
